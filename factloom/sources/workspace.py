@@ -8,13 +8,30 @@ executor owns.  Lineage is cut by writing Parquet into the folder named by
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CREATED: list[str] = []
+_ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if _ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` for functions that use this package."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
