@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.workspace import map_arrow, materialize
 from . import _kernels as K
 
 RESULT = "doc_id long, item_id long, shared int, item_shingles int"
@@ -106,7 +107,7 @@ def item_shingles(benchmark: DataFrame, n: int) -> DataFrame:
                 yield pa.record_batch([pa.array(K.as_signed(h)), ids.slice(i, j - i).take(pa.array(row))], names=["shingle", "item_id"])
 
     src = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    return src.mapInArrow(shingle, "shingle long, item_id long").distinct()
+    return map_arrow(src, shingle, "shingle long, item_id long").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.6, miss: float = 1e-4, max_index: int = 4_000_000) -> DataFrame:
@@ -122,8 +123,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: f
     on either side gives an empty result.
     """
     spark = docs.sparkSession
-    from ..sources.workspace import materialize
-
     index = materialize(item_shingles(benchmark, n), "items")
     total = index.count()
     blocks = max(1, -(-total // max_index))
@@ -146,7 +145,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: f
                         r, item, shared, size = zip(*found)
                         yield pa.record_batch([ids.slice(i, j - i).take(pa.array(r)), pa.array(item, pa.int64()), pa.array(shared, pa.int32()), pa.array(size, pa.int32())], names=["doc_id", "item_id", "shared", "item_shingles"])
 
-        found = src.mapInArrow(search, RESULT)
+        found = map_arrow(src, search, RESULT)
         result = found if result is None else result.unionByName(found)
     return result
 
@@ -157,7 +156,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **params) -> DataFr
     The flagged ids are written first, so the anti-join sees their true size;
     a document with a null doc_id is never dropped.
     """
-    from ..sources.workspace import materialize
-
     bad = materialize(contaminated(docs, benchmark, **params).select(F.col("doc_id").alias("__bad_id")).where("__bad_id is not null").distinct(), "contaminated")
     return docs.join(bad, docs["doc_id"] == bad["__bad_id"], "left_anti")

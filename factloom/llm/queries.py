@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contaminated
+from .near_dup import near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,5 +30,23 @@ FROM ds JOIN bs ON ds.s = bs.s JOIN n ON n.item_id = bs.item_id
 GROUP BY ds.doc_id, bs.item_id HAVING count(*) * 10 >= any_value(n.size) * 6
 """
 
-QUERIES = {"op1_decontaminate": op1_decontaminate}
-SQL = {"op1_decontaminate": OP1_SQL}
+
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+e AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id
+      JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
+      GROUP BY x.doc_id, y.doc_id
+      HAVING count(*) >= 0.5 * (any_value(nx.size) + any_value(ny.size) - count(*))),
+r AS (SELECT DISTINCT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach)
+SELECT node AS doc_id, min(reach) AS group_id FROM r GROUP BY node
+"""
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op10_near_dup": op10_near_dup}
+SQL = {"op1_decontaminate": OP1_SQL, "op10_near_dup": OP10_SQL}
