@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
+from .line_dedup import dedup_lines
 from .near_dup import near_duplicates
 
 
@@ -48,5 +50,24 @@ r AS (SELECT DISTINCT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM
 SELECT node AS doc_id, min(reach) AS group_id FROM r GROUP BY node
 """
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op10_near_dup": op10_near_dup}
-SQL = {"op1_decontaminate": OP1_SQL, "op10_near_dup": OP10_SQL}
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_chars", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"))
+
+
+OP4_SQL = r"""
+WITH l AS (SELECT doc_id, i, line, trim(line, E' \t\r') AS k FROM
+           (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+c AS (SELECT k, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM l WHERE k <> '' GROUP BY k),
+m AS (SELECT l.*, coalesce(c.docs >= 5 AND c.first <> l.doc_id, false) AS gone FROM l LEFT JOIN c USING (k)),
+t AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text,
+             count(*) FILTER (k <> '') AS n_lines, count(*) FILTER (gone) AS n_dropped FROM m GROUP BY doc_id)
+SELECT t.doc_id, t.text, CASE WHEN t.n_dropped > 0 THEN length(t.text) ELSE d.n_chars END AS n_chars, t.n_lines, t.n_dropped
+FROM t JOIN documents d USING (doc_id)
+"""
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op10_near_dup": op10_near_dup,
+    "op4_line_dedup": op4_line_dedup}
+SQL = {"op1_decontaminate": OP1_SQL, "op10_near_dup": OP10_SQL,
+    "op4_line_dedup": OP4_SQL}
