@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .decontaminate import contaminated
 from .line_dedup import dedup_lines
 from .near_dup import near_duplicates
+from .packing import pack_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +68,13 @@ SELECT t.doc_id, t.text, CASE WHEN t.n_dropped > 0 THEN length(t.text) ELSE d.n_
 FROM t JOIN documents d USING (doc_id)
 """
 
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op1_decontaminate": op1_decontaminate, "op10_near_dup": op10_near_dup,
-    "op4_line_dedup": op4_line_dedup}
+    "op4_line_dedup": op4_line_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing}
 SQL = {"op1_decontaminate": OP1_SQL, "op10_near_dup": OP10_SQL,
     "op4_line_dedup": OP4_SQL}
