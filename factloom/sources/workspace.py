@@ -17,11 +17,19 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _CREATED: list[str] = []
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
+    """Lets Python workers import this package from where the driver has it.
+
+    It also lowers the bytes of an Arrow batch, where they are at Spark's default:
+    64 MB a batch, which doubles while it grows, in each task is too much beside
+    Python workers for small executors, and the kernels gain nothing from it.
+    """
+    if spark.conf.get(_BATCH) == "67108864b":
+        spark.conf.set(_BATCH, "4m")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
