@@ -9,6 +9,7 @@ from .decontaminate import contaminated
 from .line_dedup import dedup_lines
 from .near_dup import near_duplicates
 from .packing import pack_documents
+from .pu_quality import keep_good
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,8 +74,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = keep_good(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"), with_score=True)
+    return kept.select("doc_id", F.round("__score", 4).alias("score"))
+
+
 QUERIES = {"op1_decontaminate": op1_decontaminate, "op10_near_dup": op10_near_dup,
     "op4_line_dedup": op4_line_dedup,
-    "op5_best_fit_packing": op5_best_fit_packing}
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_quality_classifier": op8_quality_classifier}
 SQL = {"op1_decontaminate": OP1_SQL, "op10_near_dup": OP10_SQL,
     "op4_line_dedup": OP4_SQL}
