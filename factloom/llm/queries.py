@@ -10,6 +10,7 @@ from .line_dedup import dedup_lines
 from .near_dup import near_duplicates
 from .packing import pack_documents
 from .pu_quality import keep_good
+from .substring_dedup import repeated_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,9 +80,26 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.round("__score", 4).alias("score"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT doc_id, i - 1 AS first, md5(array_to_string(w[i:i + 49], ' ')) AS s
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+k AS (SELECT s FROM s GROUP BY s HAVING min(doc_id) < max(doc_id)),
+p AS (SELECT doc_id, first FROM s WHERE s IN (SELECT s FROM k)),
+g AS (SELECT *, CASE WHEN first - lag(first) OVER (PARTITION BY doc_id ORDER BY first) <= 50 THEN 0 ELSE 1 END AS new FROM p),
+t AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY first) AS span FROM g)
+SELECT doc_id, min(first)::INTEGER AS first_word, (max(first) + 50 - min(first))::INTEGER AS n_words FROM t GROUP BY doc_id, span
+"""
+
 QUERIES = {"op1_decontaminate": op1_decontaminate, "op10_near_dup": op10_near_dup,
     "op4_line_dedup": op4_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
-    "op8_quality_classifier": op8_quality_classifier}
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_substring_dedup": op9_substring_dedup}
 SQL = {"op1_decontaminate": OP1_SQL, "op10_near_dup": OP10_SQL,
-    "op4_line_dedup": OP4_SQL}
+    "op4_line_dedup": OP4_SQL,
+    "op9_substring_dedup": OP9_SQL}
