@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
+from .host_quality import keep_by_rules
 from .line_dedup import dedup_lines
 from .near_dup import near_duplicates
 from .packing import pack_documents
 from .pu_quality import keep_good
+from .secret_scan import find_secrets
 from .substring_dedup import repeated_passages
 
 
@@ -95,11 +97,41 @@ t AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY first) AS span FROM
 SELECT doc_id, min(first)::INTEGER AS first_word, (max(first) + 50 - min(first))::INTEGER AS n_words FROM t GROUP BY doc_id, span
 """
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keep_by_rules(_table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS size,
+                  len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+')) AS words FROM documents),
+c AS (SELECT *, strlen(regexp_replace(t, '[ -@\[-`{-~\t\n\r]+', '', 'g')) AS letters,
+             size - strlen(regexp_replace(t, '[A-Z]+', '', 'g')) AS capitals,
+             size - strlen(regexp_replace(t, '[#$%&*|!<>{}\\^~=_]+', '', 'g')) AS symbols,
+             regexp_split_to_array(t, '[ \n]') AS w FROM d),
+p AS (SELECT *, list_reduce(list_transform(range(2, len(w) + 1), lambda i: CASE WHEN w[i] = w[i - 1] AND w[i] <> '' THEN 1 ELSE 0 END), lambda a, x: CASE WHEN x = 0 THEN (a // 2) * 2 WHEN a % 2 = 1 THEN a - 1 ELSE a + 3 END, 0) // 2 AS repeats FROM c),
+f AS (SELECT doc_id, host, CASE WHEN words < 5 THEN 1 ELSE 0 END + CASE WHEN words > 0 AND size > 20 * words THEN 2 ELSE 0 END
+             + CASE WHEN words > 0 AND letters * 10 < size * 6 THEN 4 ELSE 0 END + CASE WHEN words > 0 AND capitals * 10 > size * 3 THEN 8 ELSE 0 END
+             + CASE WHEN words > 0 AND symbols * 20 > size THEN 16 ELSE 0 END + CASE WHEN words > 0 AND repeats * 10 > words * 2 THEN 32 ELSE 0 END AS failed FROM p),
+h AS (SELECT host, count(*) AS n, count(*) FILTER (failed > 0) AS k FROM f GROUP BY host),
+m AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v, avg(1.0::DOUBLE / n) AS u FROM h),
+s AS (SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * u, 1e-6) - 1, 1.0), 10000.0) AS s FROM m),
+r AS (SELECT host, n, k, (k + m * s) / (n + s) AS rate FROM h, s)
+SELECT doc_id, host, failed::INTEGER AS failed, n AS host_docs, k AS host_failures, round(rate, 6) AS host_rate
+FROM f JOIN r USING (host) WHERE rate <= 0.5 AND failed = 0
+"""
+
 QUERIES = {"op1_decontaminate": op1_decontaminate, "op10_near_dup": op10_near_dup,
     "op4_line_dedup": op4_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_quality_classifier": op8_quality_classifier,
-    "op9_substring_dedup": op9_substring_dedup}
+    "op9_substring_dedup": op9_substring_dedup,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_host_quality": op3_host_quality}
 SQL = {"op1_decontaminate": OP1_SQL, "op10_near_dup": OP10_SQL,
     "op4_line_dedup": OP4_SQL,
-    "op9_substring_dedup": OP9_SQL}
+    "op9_substring_dedup": OP9_SQL,
+    "op3_host_quality": OP3_SQL}
