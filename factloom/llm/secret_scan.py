@@ -40,7 +40,10 @@ the and for with that this from have which their there would about other could i
 der die und das nicht eine einen werden auf sich haben dass wurde sind auch nach schule kinder freundschaft geschwindigkeit
 le la les des une est dans pour que qui sur avec pas plus mais entreprise gouvernement quelquefois longtemps aujourd
 el los las una por para con como pero sus este entre desde cuando trabajo nacional gobierno desarrollo conocimiento
-ing tion ment able less ness ful ous ive ance ence er or ist ism ity ly ed en re un in dis pre anti inter over under""".split()
+ing tion ment able less ness ful ous ive ance ence er or ist ism ity ly ed en re un in dis pre anti inter over under
+eau eaux eux aux oui ai oi ou que qui tre ier ment elle eur age ique aire eille oir ette euse ain ein un on en an
+cion mente ado ido oso ero ista dad aje que gui rre lla ñe ia ie ue ui
+schaft keit heit ung lich isch bar sam ver zer ent ge be auf aus ein vor nach tz pf sch ch st""".split()
 
 
 def labelled_samples(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
@@ -59,7 +62,7 @@ def labelled_samples(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
             out.append((base64.urlsafe_b64encode(rng.randbytes(length)).decode().rstrip("="), 1))
     for k in range(n):
         words = [rng.choice(_WORDS) for _ in range(rng.randint(2, 7))]
-        style = k % 8
+        style = k % 11
         if style == 0:
             text = "_".join(words)
         elif style == 1:
@@ -72,9 +75,13 @@ def labelled_samples(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
             text = "/".join(words)
         elif style == 5:
             text = "_".join(words) + str(rng.randint(0, 2030))
+        elif style == 6:
+            text = "".join(str(rng.randint(0, 9)) for _ in range(rng.randint(10, 24)))  # numbers and times
+        elif style == 9:
+            text = rng.choice(CHARS.decode()) * rng.randint(3, 30)  # rulers and blanks
         else:
             text = "".join(words)
-            text = text.title() if style == 6 else text
+            text = {7: text.title(), 8: text.upper()}.get(style, text)
         out.append((text, 0))
     return out
 
@@ -114,7 +121,7 @@ def score_text(table: np.ndarray, token: str) -> float:
     return total
 
 
-def find_secrets(docs: DataFrame, samples: list[tuple[str, int]] | None = None, min_length: int = 16, threshold: float = 10.0) -> DataFrame:
+def find_secrets(docs: DataFrame, samples: list[tuple[str, int]] | None = None, min_length: int = 16, threshold: float = 12.0) -> DataFrame:
     """(doc_id, start, length, preview, score): every token that scores as a secret.
 
     start and length count characters; preview is the first four characters, so
