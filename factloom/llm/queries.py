@@ -13,6 +13,7 @@ from .packing import pack_documents
 from .pu_quality import keep_good
 from .secret_scan import find_secrets
 from .substring_dedup import repeated_passages
+from .token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,13 +125,18 @@ SELECT doc_id, host, failed::INTEGER AS failed, n AS host_docs, k AS host_failur
 FROM f JOIN r USING (host) WHERE rate <= 0.5 AND failed = 0
 """
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op1_decontaminate": op1_decontaminate, "op10_near_dup": op10_near_dup,
     "op4_line_dedup": op4_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_substring_dedup": op9_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
-    "op3_host_quality": op3_host_quality}
+    "op3_host_quality": op3_host_quality,
+    "op7_token_counts": op7_token_counts}
 SQL = {"op1_decontaminate": OP1_SQL, "op10_near_dup": OP10_SQL,
     "op4_line_dedup": OP4_SQL,
     "op9_substring_dedup": OP9_SQL,
