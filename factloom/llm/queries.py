@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
 from .host_quality import keep_by_rules
+from .html_templates import extract_text
 from .line_dedup import dedup_lines
 from .near_dup import near_duplicates
 from .packing import pack_documents
@@ -129,6 +130,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {"op1_decontaminate": op1_decontaminate, "op10_near_dup": op10_near_dup,
     "op4_line_dedup": op4_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
@@ -136,7 +141,8 @@ QUERIES = {"op1_decontaminate": op1_decontaminate, "op10_near_dup": op10_near_du
     "op9_substring_dedup": op9_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_host_quality": op3_host_quality,
-    "op7_token_counts": op7_token_counts}
+    "op7_token_counts": op7_token_counts,
+    "op6_html_templates": op6_html_templates}
 SQL = {"op1_decontaminate": OP1_SQL, "op10_near_dup": OP10_SQL,
     "op4_line_dedup": OP4_SQL,
     "op9_substring_dedup": OP9_SQL,
