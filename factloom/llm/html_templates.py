@@ -193,9 +193,14 @@ def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     if templates.count() <= max_broadcast:
         sent = spark.sparkContext.broadcast(np.sort(templates.toArrow()["key"].to_numpy().view(np.uint64)))
 
+        def known(_, keys):
+            if not len(sent.value):
+                return np.zeros(len(keys), bool)
+            return sent.value[np.minimum(np.searchsorted(sent.value, keys), len(sent.value) - 1)] == keys
+
         def run(batches):
             for batch in batches:
-                yield emit(batch, lambda k, keys: np.isin(keys, sent.value))
+                yield emit(batch, known)
 
         return map_arrow(src, run, result)
     mine = subtrees.join(templates, "key", "left_semi").groupBy(F.col("page_id").alias("__id")).agg(F.collect_set("key").alias("__keys"))
