@@ -218,7 +218,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_docs: int =
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=["group_id", "bin_id", "slot", "doc_id", "piece", "start_token", "n_tokens"])
 
-    grouped = lengths.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("group_id")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "tokens"))).alias("x"))
+    # solving costs far more than the bytes that it reads suggest, so the number of tasks follows the groups
+    dealt = lengths.withColumn("group_id", F.pmod(F.xxhash64("doc_id"), F.lit(groups))).repartition(max(1, groups // 8), "group_id")
+    grouped = dealt.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tokens"))).alias("x"))
     # structs keep a null doc_id inside the list
     rows = grouped.select("group_id", F.transform("x", lambda e: F.struct(e["doc_id"].alias("doc_id"))).alias("ids"), F.transform("x", lambda e: e["tokens"]).alias("tokens"))
     return map_arrow(rows, run, RESULT)
