@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +45,6 @@ def extract(chunks: DataFrame, factory: Factory, max_tokens: int = 2048) -> tupl
 
 def curate_candidates(candidates: DataFrame, factory: Factory, s: Settings, max_tokens: int = 4096) -> DataFrame:
     """The candidates that the second model lets stay; it sees each chunk's candidates with the end of its text."""
-    import pandas as pd
-
     spark = candidates.sparkSession
     ship_package(spark)
     most = s.curation_tail_bytes
