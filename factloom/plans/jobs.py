@@ -92,19 +92,22 @@ def reconcile_records(records: DataFrame, store: FactStore, factory: Factory, s:
     now = F.current_timestamp() if as_of is None else as_of
     named = found.select("content", "scope", "category", "entity", "confidence", "scope_confidence", F.col("project").alias("source_project"), F.col("session").alias("source_session"), "chunk_index", F.col("index").alias("pos"))
     named = reconcile.candidate_ids(named).dropDuplicates(["id"]).withColumn("seq", F.concat_ws("\u001f", "source_session", F.lpad(F.col("chunk_index").cast("string"), 8, "0"), F.lpad(F.col("pos").cast("string"), 8, "0")))
+    # rows that an earlier run of the same lines made are not judged again
+    known = store.read()
+    named = materialize(named, "named")
+    report.counts["known"] = named.join(known.select("id"), "id", "left_semi").count()
+    named = named.join(known.select("id"), "id", "left_anti")
     checked = reconcile.gate(named, s).select("id", F.col("outcome").alias("early"))
     worth = named.join(checked, "id").withColumn("embedding", F.when(F.col("early").isNull(), embed_column(spark, factory, F.col("content")))).drop("early")
     incoming = keep("incoming", worth.withColumn("created_at", now))
-    known = store.read()
     if level < 4:
         out = keep("outcomes", reconcile.reconcile_snapshot(incoming, known, s))
     else:
         out = keep("outcomes", reconcile.reconcile_ordered(incoming, known, s))
         rows = materialize(conform(reconcile.to_rows(incoming, out, s, now)), "rows")
-        fresh = rows.join(known.select("id"), "id", "left_anti")
         edges = out.select(F.col("id").alias("new_id"), F.explode("superseded").alias("old_id"))
-        if fresh.limit(1).count():
-            store.settle(fresh, edges, now)
+        if rows.limit(1).count():
+            store.settle(rows, edges, now)
     report.counts |= {f"outcome_{r.outcome}": r.n for r in out.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
     return report
 

@@ -60,15 +60,17 @@ def excluded_projects(projects: DataFrame, exclude: DataFrame) -> DataFrame:
 def raw_lines(spark: SparkSession, files: DataFrame) -> DataFrame:
     """(project, session, aside, line_no, value) of the files; blank lines go.
 
-    Whole files are read by whoever holds their block; the line numbers come from
-    one window per file.  Byte offsets are the streaming source's business.
+    Large files are split among tasks; lines are numbered from 0 by the start of
+    their split and their place in it.  Byte offsets are the streaming source's business.
     """
     paths = [r.path for r in files.select("path").toLocalIterator()]
     if not paths:
         return spark.createDataFrame([], "project string, session string, aside boolean, line_no long, value string")
-    text = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
-    named = text.join(files.select(_same("path").alias("p"), "project", "session", "aside"), _same("path") == F.col("p"))
-    return named.select("project", "session", "aside", F.posexplode(F.split("value", "\n")).alias("pos", "value")).select("project", "session", "aside", F.col("pos").cast("long").alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value")).where("trim(value) <> ''")
+    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"), "value")
+    order = F.row_number().over(Window.partitionBy("path").orderBy("start", "place"))
+    numbered = text.withColumn("line_no", order.cast("long") - 1).where("trim(value) <> ''")
+    named = numbered.join(files.select(_same("path").alias("p"), "project", "session", "aside"), _same("path") == F.col("p"))
+    return named.select("project", "session", "aside", "line_no", F.regexp_replace("value", "\r$", "").alias("value"))
 
 
 def _same(path: str):
