@@ -112,14 +112,26 @@ def train(ids: np.ndarray, at: np.ndarray, positive: np.ndarray, ratio: np.ndarr
     With ``prior`` 0 it trains the plain discriminator of positives against
     unlabelled rows, each side of equal weight.
     """
-    w, b = ratio.copy().astype(np.float64), 0.0
-    m, v, mb, vb, step = np.zeros(DIM), np.zeros(DIM), 0.0, 0.0, 0
-    w_mean, b_mean, taken = np.zeros(DIM), 0.0, 0  # of the second half of the steps
+    # features of ratio 0 stay at weight 0, so only the others are trained
+    live = np.flatnonzero(ratio)
+    place = np.full(len(ratio), -1)
+    place[live] = np.arange(len(live))
+    ids = place[ids]
+    at = np.concatenate([[0], np.cumsum(ids >= 0)])[at]
+    ids, start, dim = ids[ids >= 0], ratio[live].astype(np.float64), len(live)
+    w, b = start.copy(), 0.0
+
+    def whole(w):
+        out = np.zeros(len(ratio))
+        out[live] = w
+        return out
+
+    m, v, mb, vb, step = np.zeros(dim), np.zeros(dim), 0.0, 0.0, 0
+    w_mean, b_mean, taken = np.zeros(dim), 0.0, 0  # of the second half of the steps
     rng = np.random.default_rng(seed)
     p_rows, u_rows = np.flatnonzero(positive), np.flatnonzero(~positive)
     if not len(p_rows) or not len(u_rows):
-        return w, b
-    live = ratio != 0
+        return whole(w), b
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     batches = max(1, len(u_rows) // 2000)
     for _ in range(epochs):
@@ -137,8 +149,7 @@ def train(ids: np.ndarray, at: np.ndarray, positive: np.ndarray, ratio: np.ndarr
                 gp, gv = (prior * gp_pos - prior * gp_neg, gu) if negative >= 0 else (prior * gp_pos, 0 * gu)
             else:
                 gp, gv = gp_pos, gu
-            grad = np.bincount(pi_, np.repeat(gp, np.diff(pa_)), DIM) + np.bincount(ui_, np.repeat(gv, np.diff(ua_)), DIM)
-            grad = np.where(live, grad + 1e-3 * (w - ratio), 0)
+            grad = np.bincount(pi_, np.repeat(gp, np.diff(pa_)), dim) + np.bincount(ui_, np.repeat(gv, np.diff(ua_)), dim) + 1e-3 * (w - start)
             gb = gp.sum() + gv.sum()
             step += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -148,7 +159,7 @@ def train(ids: np.ndarray, at: np.ndarray, positive: np.ndarray, ratio: np.ndarr
             b -= scale * mb / (np.sqrt(vb) + 1e-8)
             if 2 * step > epochs * batches:
                 w_mean, b_mean, taken = w_mean + w, b_mean + b, taken + 1
-    return (w_mean / taken, b_mean / taken) if taken else (w, b)
+    return (whole(w_mean / taken), b_mean / taken) if taken else (whole(w), b)
 
 
 def estimate_prior(held: np.ndarray, corpus: np.ndarray) -> float:
