@@ -24,7 +24,7 @@ MAX_RATE = 0.5
 
 
 def rule_flags(text: Column) -> dict[str, Column]:
-    """The rules: true where a text fails.  All but few_words need a word."""
+    """The rules: true where a text fails.  A short text fails none for being short."""
     size = F.octet_length(text)
     words = F.regexp_count(text, F.lit("[^ \\t\\n\\r]+"))
     letters = F.octet_length(F.regexp_replace(text, F.lit("[ -@\\[-`{-~\\t\\n\\r]+"), F.lit("")))
@@ -33,7 +33,7 @@ def rule_flags(text: Column) -> dict[str, Column]:
     repeats = F.regexp_count(text, F.lit("(?<![^ \\n])([^ \\n]+)[ \\n]\\1(?![^ \\n])"))
     some = words > 0
     return {
-        "few_words": words < 5,
+        "no_words": words < 1,
         "long_words": some & (size > 20 * words),
         "few_letters": some & (letters * 10 < size * 6),
         "capitals": some & (capitals * 10 > size * 3),
@@ -73,7 +73,7 @@ def judge_documents(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     """(doc_id, host, failed, host_docs, host_failures, host_rate, host_ok), a row for each document row.
 
     The host is the column ``source``; null and empty ones are one host, ''.
-    Null texts count as empty and fail few_words.  Rows count as often as they
+    Null texts count as empty and fail no_words.  Rows count as often as they
     occur, also with a null or repeated doc_id.  Texts of any length are tested
     whole; other columns are ignored; an empty table gives an empty result.
     """

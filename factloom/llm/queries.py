@@ -115,7 +115,7 @@ c AS (SELECT *, strlen(regexp_replace(t, '[ -@\[-`{-~\t\n\r]+', '', 'g')) AS let
              size - strlen(regexp_replace(t, '[#$%&*|!<>{}\\^~=_]+', '', 'g')) AS symbols,
              regexp_split_to_array(t, '[ \n]') AS w FROM d),
 p AS (SELECT *, list_reduce(list_transform(range(2, len(w) + 1), lambda i: CASE WHEN w[i] = w[i - 1] AND w[i] <> '' THEN 1 ELSE 0 END), lambda a, x: CASE WHEN x = 0 THEN (a // 2) * 2 WHEN a % 2 = 1 THEN a - 1 ELSE a + 3 END, 0) // 2 AS repeats FROM c),
-f AS (SELECT doc_id, host, CASE WHEN words < 5 THEN 1 ELSE 0 END + CASE WHEN words > 0 AND size > 20 * words THEN 2 ELSE 0 END
+f AS (SELECT doc_id, host, CASE WHEN words < 1 THEN 1 ELSE 0 END + CASE WHEN words > 0 AND size > 20 * words THEN 2 ELSE 0 END
              + CASE WHEN words > 0 AND letters * 10 < size * 6 THEN 4 ELSE 0 END + CASE WHEN words > 0 AND capitals * 10 > size * 3 THEN 8 ELSE 0 END
              + CASE WHEN words > 0 AND symbols * 20 > size THEN 16 ELSE 0 END + CASE WHEN words > 0 AND repeats * 10 > words * 2 THEN 32 ELSE 0 END AS failed FROM p),
 h AS (SELECT host, count(*) AS n, count(*) FILTER (failed > 0) AS k FROM f GROUP BY host),
