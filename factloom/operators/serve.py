@@ -122,3 +122,10 @@ def export_json(facts: DataFrame) -> DataFrame:
 
 def dimensions(facts: DataFrame) -> DataFrame:
     return facts.agg(F.count_distinct(F.size("embedding")).alias("n_dims"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high"))
+
+
+def detail(facts: DataFrame, prefix: str) -> DataFrame:
+    """(name, value): the columns of the one row that ``prefix`` names, without the vector."""
+    row = export_rows(find_by_prefix(facts, prefix))
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in row.columns])
+    return row.select(F.inline(pairs))

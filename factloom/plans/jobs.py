@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts
 from ..functions.model import Factory, chat_column, embed_column
 from ..functions.parsers import candidates_column, decisions_column, synthesis_column
-from ..functions.text import tail_bytes
+from ..functions.text import preview, tail_bytes
 from ..operators import curate, reconcile, serve, settle
 from ..operators.transcripts import preprocess
 from ..schema import conform
@@ -160,3 +160,9 @@ def recall(store: FactStore, query: str, factory: Factory, limit: int = 5, scope
 
 def outcome_preview(incoming: DataFrame, outcomes: DataFrame) -> DataFrame:
     return incoming.select("id", "scope", "category", "content").join(outcomes, "id")
+
+
+def chunk_preview(chunks: DataFrame, lines: int = 3, most: int = 100) -> DataFrame:
+    """(session, chunk_index, approx_tokens, line): the first lines of each chunk, cut short."""
+    each = chunks.select("session", "chunk_index", "approx_tokens", F.posexplode(F.slice(F.split("text", "\n"), 1, lines)).alias("k", "line"))
+    return each.select("session", "chunk_index", "approx_tokens", "k", preview(chunks.sparkSession, "line", most).alias("line"))

@@ -79,6 +79,7 @@ def test_lists_and_lookups(spark):
     assert [r.id for r in serve.list_facts(df, entity="rust", source_project="beta").collect()] == ["id1"]
     assert [r.id for r in serve.keyword_search(df, "100% SURE_").collect()] == ["id2"] and serve.keyword_search(df, "100%x").count() == 0
     assert serve.find_by_prefix(df, "0f8").first().id == serve.find_by_prefix(df, "0F8FAD5B-d9cb-469f-a165-70867728950e").first().id
+    assert {r.name: r.value for r in serve.detail(df, "id1").collect()}["source_project"] == "beta"
     for prefix in ("zz", "id"):
         with pytest.raises(LookupError):
             serve.find_by_prefix(df, prefix)

@@ -177,6 +177,7 @@ def test_reconcile_depths(spark, tree, tmp_path):
     factory = lambda: StubModel(16)
     report = jobs.reconcile_job(spark, tree, store, factory, S, depth="chunks")
     assert report.counts == {"chunks": 3, "files": 4}
+    assert jobs.chunk_preview(report.tables["chunks"], 1, 8).where("session = 's1'").first().line == "Human: I..."
     report = jobs.reconcile_job(spark, tree, store, factory, S, depth="reconcile", session_prefix="s3")
     assert report.counts["extracted"] == report.counts["curated"] == 4 and report.counts["outcome_accepted"] == 4 and store.version() == 0
     report = jobs.reconcile_job(spark, tree, store, factory, S)
@@ -222,3 +223,20 @@ def test_streaming_ingest_is_incremental(spark, tree, tmp_path):
     run()
     new = store.read().where("content like '%kubernetes%'").collect()
     assert len(new) == 1 and store.read().count() == first + 1
+
+
+def test_a_session_that_grows_slowly_keeps_its_first_turns(spark, tmp_path):
+    (tmp_path / "root" / "p").mkdir(parents=True)
+    path = tmp_path / "root" / "p" / "slow.jsonl"
+    store = FactStore(spark, f"file://{tmp_path}/store")
+    run = lambda: ingest.start(spark, f"{tmp_path}/root/*/*.jsonl", store, f"{tmp_path}/cp", lambda: StubModel(16), S).awaitTermination()
+    for k, thing in enumerate(("zebras", "marmalade", "granite", "violins")):
+        assert store.read().count() == 0
+        with path.open("a") as f:
+            f.write(user(f"we like {thing}") + "\n")
+        run()
+    assert {r.content for r in store.read().collect()} == {"Prefers zebras", "Prefers marmalade", "Prefers granite", "Prefers violins"}
+    with path.open("a") as f:
+        f.write(user("we like cellos") + "\n")
+    run()
+    assert store.read().where("content = 'Prefers cellos'").count() == 1
