@@ -12,13 +12,14 @@ corpus, and pi is the least ratio, over score thresholds, of the unlabelled mass
 above the threshold to that of held-out positives, each with its confidence bound.
 
 Features of a text: its distinct words, the distinct beginnings of 4 and 5 bytes
-of its words, and the cuts reached by its shares of symbols, capitals, repeated
+of its words, and the cuts reached by its shares of symbols, inner capitals, repeated
 words, digits and long words.  Each is weighted by its document-frequency log ratio between the
 two samples where that is significant, else by 0.
 
 The training sample is bounded by ``max_positives`` and ``max_unlabelled``
-documents, taken by a hash of doc_id over the whole tables; it trains in one
-task.  The estimate of pi and the scores cover every document.  Negative labels
+documents, taken by a hash of doc_id over the whole tables.  Spark counts its
+features; what is left of them for each text is small and trains in one task.
+The estimate of pi and the scores cover every document.  Negative labels
 are never used.
 """
 
@@ -35,14 +36,17 @@ from ..sources.workspace import map_arrow, materialize
 from . import _kernels as K
 from .near_dup import signatures
 
-BITS = 18
-DIM = 1 << BITS
+#: Features are named by so many bits of a hash: enough that words of a web corpus don't share a name.
+BITS = 40
 _BINS = 1000
+_ROWS = pa.schema([("rid", pa.int64()), ("kind", pa.int64()), ("features", pa.list_(pa.int32()))])
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
+#: Marks other than those of ordinary sentences, which would weigh too much in short texts.
 _SYMBOL = ~(K.ALNUM | ~K.NOT_SPACE)
+_SYMBOL[list(b".,;:'\"()-?")] = False
 _CUTS = np.array([0.02, 0.04, 0.06, 0.08, 0.1, 0.13, 0.16, 0.2, 0.25, 0.3, 0.4, 0.5, 0.7])
 
 
@@ -68,7 +72,10 @@ def features(column: pa.Array):
         roff = raw_off[i : j + 1] - raw_off[i]
         rbuf = raw[raw_off[i] : raw_off[j]]
         long_ = (end - start) > 24
-        stats = [_share(_SYMBOL[rbuf], roff), _share(_UPPER[rbuf], roff), _share(same, at), _share(_DIGIT[rbuf], roff), _share(long_, at)]
+        inner = np.zeros(len(rbuf), bool)  # capitals inside words
+        inner[1:] = _UPPER[rbuf[1:]] & K.ALNUM[rbuf[:-1]]
+        inner[roff[:-1][roff[:-1] < len(rbuf)]] = False
+        stats = [_share(_SYMBOL[rbuf], roff), _share(inner, roff), _share(same, at), _share(_DIGIT[rbuf], roff), _share(long_, at)]
         over = [(s[:, None] >= _CUTS).nonzero() for s in stats]  # one feature for each cut that a share reaches
         dense = [c.astype(K.U) + K.U((k + 1) << 40) for k, (_, c) in enumerate(over)]
         ids = np.concatenate([(x >> K.U(64 - BITS)).astype(np.int64) for x in (word, *map(K.mix, heads), *map(K.mix, dense))])
@@ -76,7 +83,7 @@ def features(column: pa.Array):
         key = np.sort((rows << BITS) | ids)
         if len(key):
             key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-        yield i, j, key & (DIM - 1), np.searchsorted(key >> BITS, np.arange(n + 1))
+        yield i, j, key & ((1 << BITS) - 1), np.searchsorted(key >> BITS, np.arange(n + 1))
 
 
 def _sum(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -84,20 +91,30 @@ def _sum(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def log_ratio(ids_p, n_p: int, ids_u, n_u: int) -> np.ndarray:
-    """Per feature, log of its document share in positives over unlabelled, 0 where not significant.
+def significant(counts: DataFrame, n_p: int, n_u: int) -> DataFrame:
+    """(feature, ratio): log of the document share in positives over that in unlabelled text, where significant.
 
+    ``counts`` has (feature, p, u), the documents of either kind that hold it.
     Unlabelled text holds the positives' mixture, so a true ratio is at most
-    1 / pi; larger ones, and the small ones near it, are noise and count as 0.
+    1 / pi; larger ones, and the small ones near it, are noise and left out.
     """
-    p = np.bincount(ids_p, minlength=DIM) if len(ids_p) else np.zeros(DIM)
-    u = np.bincount(ids_u, minlength=DIM) if len(ids_u) else np.zeros(DIM)
-    a, b = (p + 0.5) / (n_p + 1), (u + 0.5) / (n_u + 1)
-    pooled = (p + u + 1) / (n_p + n_u + 2)
-    z = np.abs(a - b) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / (n_p + 1) + 1 / (n_u + 1)))
-    ratio = np.log(a / b)
-    ratio[(z < 2.5) | (ratio > -0.7)] = 0
-    return np.clip(ratio, -4, 4).astype(np.float32)
+    a, b = (F.col("p") + 0.5) / (n_p + 1), (F.col("u") + 0.5) / (n_u + 1)
+    pooled = (F.col("p") + F.col("u") + 1) / (n_p + n_u + 2)
+    z = F.abs(a - b) / F.sqrt(pooled * (1 - pooled) * (1 / (n_p + 1) + 1 / (n_u + 1)))
+    return counts.select("feature", F.greatest(F.log(a / b), F.lit(-4.0)).alias("ratio"), z.alias("z")).where("z >= 2.5 and ratio <= -0.7").select("feature", "ratio")
+
+
+def lookup(ids: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """The place of each id among the sorted ``live`` ones, or -1."""
+    out = np.full(len(ids), -1)
+    if len(live):
+        maybe = np.zeros(1 << 16, bool)
+        maybe[live & 0xFFFF] = True
+        k = np.flatnonzero(maybe[ids & 0xFFFF])
+        at = np.minimum(np.searchsorted(live, ids[k]), len(live) - 1)
+        hit = live[at] == ids[k]
+        out[k[hit]] = at[hit]
+    return out
 
 
 def _sub(ids: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,29 +126,17 @@ def _sub(ids: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray,
 def train(ids: np.ndarray, at: np.ndarray, positive: np.ndarray, ratio: np.ndarray, prior: float, epochs: int = 30, rate: float = 0.03, seed: int = 7) -> tuple[np.ndarray, float]:
     """(weights, bias) that minimise the non-negative risk at ``prior``.
 
-    With ``prior`` 0 it trains the plain discriminator of positives against
-    unlabelled rows, each side of equal weight.
+    Rows are CSR: the places of their features among ``ratio``, from which the
+    weights start.  With ``prior`` 0 it trains the plain discriminator of positives
+    against unlabelled rows, each side of equal weight.
     """
-    # features of ratio 0 stay at weight 0, so only the others are trained
-    live = np.flatnonzero(ratio)
-    place = np.full(len(ratio), -1)
-    place[live] = np.arange(len(live))
-    ids = place[ids]
-    at = np.concatenate([[0], np.cumsum(ids >= 0)])[at]
-    ids, start, dim = ids[ids >= 0], ratio[live].astype(np.float64), len(live)
-    w, b = start.copy(), 0.0
-
-    def whole(w):
-        out = np.zeros(len(ratio))
-        out[live] = w
-        return out
-
+    dim, w, b = len(ratio), ratio.copy(), 0.0
     m, v, mb, vb, step = np.zeros(dim), np.zeros(dim), 0.0, 0.0, 0
     w_mean, b_mean, taken = np.zeros(dim), 0.0, 0  # of the second half of the steps
     rng = np.random.default_rng(seed)
     p_rows, u_rows = np.flatnonzero(positive), np.flatnonzero(~positive)
     if not len(p_rows) or not len(u_rows):
-        return whole(w), b
+        return w, b
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     batches = max(1, len(u_rows) // 2000)
     for _ in range(epochs):
@@ -149,7 +154,7 @@ def train(ids: np.ndarray, at: np.ndarray, positive: np.ndarray, ratio: np.ndarr
                 gp, gv = (prior * gp_pos - prior * gp_neg, gu) if negative >= 0 else (prior * gp_pos, 0 * gu)
             else:
                 gp, gv = gp_pos, gu
-            grad = np.bincount(pi_, np.repeat(gp, np.diff(pa_)), dim) + np.bincount(ui_, np.repeat(gv, np.diff(ua_)), dim) + 1e-3 * (w - start)
+            grad = np.bincount(pi_, np.repeat(gp, np.diff(pa_)), dim) + np.bincount(ui_, np.repeat(gv, np.diff(ua_)), dim) + 1e-3 * (w - ratio)
             gb = gp.sum() + gv.sum()
             step += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -159,7 +164,7 @@ def train(ids: np.ndarray, at: np.ndarray, positive: np.ndarray, ratio: np.ndarr
             b -= scale * mb / (np.sqrt(vb) + 1e-8)
             if 2 * step > epochs * batches:
                 w_mean, b_mean, taken = w_mean + w, b_mean + b, taken + 1
-    return (whole(w_mean / taken), b_mean / taken) if taken else (whole(w), b)
+    return (w_mean / taken, b_mean / taken) if taken else (w, b)
 
 
 def estimate_prior(held: np.ndarray, corpus: np.ndarray) -> float:
@@ -178,64 +183,73 @@ def _bin(score: np.ndarray) -> np.ndarray:
     return np.clip(((np.tanh(score / 20) + 1) / 2 * _BINS).astype(np.int64), 0, _BINS - 1)
 
 
-def _copies(column: pa.Array) -> np.ndarray:
-    """(rows, 24) band keys by which near copies in the sample are found; all 0 for texts without words."""
-    out = np.zeros((len(column), 24), K.U)
-    for i, j, buf, off in K.text_slices(column, lower=True):
-        h, row = K.shingles(*K.words(buf, off), 3)
-        if len(h):
-            at = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1])
-            out[i + row[at]] = signatures(h, at, 96).view(K.U)
-    return out
+def _copies(batches):
+    """(rid, kind, keys): 24 band keys a text by which near copies are found; null for texts without words."""
+    for batch in batches:
+        for i, j, buf, off in K.text_slices(batch.column(2), lower=True):
+            h, row = K.shingles(*K.words(buf, off), 3)
+            keys: list = [None] * (j - i)
+            if len(h):
+                at = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1])
+                for r, sig in zip(row[at], signatures(h, at, 96)):
+                    keys[r] = sig.tobytes()
+            yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(keys, pa.binary())], names=["rid", "kind", "keys"])
 
 
-def _collect(batches):
-    """The rows of a task as (feature ids, offsets, kind), one of each set of near copies of a kind.
+def _one_of_each(batches):
+    """The rows of a task, without those that share a band key with an earlier one of their kind.
 
     Copies would make the words of a text that was copied often look typical of
     unlabelled text.
     """
-    ids, size, kind, keys = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 24), K.U)]
+    rids, kinds, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 24), K.U)]
     for batch in batches:
-        keys.append(_copies(batch.column(0)))
-        kind.append(batch.column(1).to_numpy(zero_copy_only=False))
-        for _, _, f, at in features(batch.column(0)):
-            ids.append(f.astype(np.int32))
-            size.append(np.diff(at))
-    ids, at, kind, keys = np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(size))]), np.concatenate(kind), np.concatenate(keys)
-    keep = np.ones(len(kind), bool)
-    for band in range(keys.shape[1]):
-        key = K.mix(keys[:, band]) ^ K.mix((kind != 0).astype(K.U))
-        first = np.zeros(len(key), bool)
-        first[np.unique(key, return_index=True)[1]] = True
-        keep &= first | (keys[:, band] == 0)
-    return (*_sub(ids, at, np.flatnonzero(keep)), kind[keep])
-
-
-def _train_both(batches):
-    """One row (w0, b0, held): the discriminator and the histogram of held-out positives."""
-    ids, at, kind = _collect(batches)
-    fit = np.flatnonzero(kind != 2)
-    f_ids, f_at = _sub(ids, at, fit)
-    positive = kind[fit] == 1
-    rows = np.repeat(positive, np.diff(f_at))
-    ratio = log_ratio(f_ids[rows], int(positive.sum()), f_ids[~rows], int((~positive).sum()))
-    w, b = train(f_ids, f_at, positive, ratio, 0.0)
-    h_ids, h_at = _sub(ids, at, np.flatnonzero(kind == 2))
-    held = np.bincount(_bin(_sum(w[h_ids], h_at) + b), minlength=_BINS) if len(h_at) > 1 else np.zeros(_BINS, np.int64)
-    yield pa.record_batch([pa.array([np.append(w, b).astype(np.float32).tobytes()]), pa.array([ratio.tobytes()]), pa.array([held.astype(np.int64).tobytes()])], names=["model", "ratio", "held"])
+        rids.append(batch.column(0).to_numpy(zero_copy_only=False))
+        kinds.append(batch.column(1).to_numpy(zero_copy_only=False))
+        keys.append(np.array([np.frombuffer(x or bytes(192), K.U) for x in batch.column(2).to_pylist()], K.U).reshape(-1, 24))
+    rid, kind, key = np.concatenate(rids), np.concatenate(kinds), np.concatenate(keys)
+    order = np.argsort(rid)
+    rid, kind, key = rid[order], kind[order], key[order]
+    keep = np.ones(len(rid), bool)
+    for band in range(24):
+        first = np.zeros(len(rid), bool)
+        first[np.unique(K.mix(key[:, band]) ^ K.mix((kind != 0).astype(K.U)), return_index=True)[1]] = True
+        keep &= first | (key[:, band] == 0)
+    yield pa.record_batch([pa.array(rid[keep])], names=["rid"])
+
+
+def _count(batches):
+    """(feature, p, u): documents of either kind, added up by slice."""
+    for batch in batches:
+        kind = batch.column(1).to_numpy(zero_copy_only=False)
+        for i, j, f, at in features(batch.column(2)):
+            positive = np.repeat(kind[i:j] == 1, np.diff(at))
+            ids, place, n = np.unique(f, return_inverse=True, return_counts=True)
+            p = np.bincount(place, positive, len(ids)).astype(np.int64)
+            yield pa.record_batch([pa.array(ids), pa.array(p), pa.array(n - p)], names=["feature", "p", "u"])
+
+
+def _csr(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, offsets, kind) of all rows of a task, ordered by rid."""
+    rows = pa.Table.from_batches(batches, _ROWS).sort_by("rid")
+    sizes = pc.list_value_length(rows["features"]).to_numpy()
+    ids = rows["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return ids.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), rows["kind"].to_numpy()
 
 
 class Model:
-    """Weights and bias; a positive score keeps a text."""
+    """Feature names, their weights and a bias; a score of 0 or more keeps a text."""
 
-    def __init__(self, weights: np.ndarray):
-        self.w, self.b = weights[:-1].astype(np.float32), float(weights[-1])
+    def __init__(self, live: np.ndarray, w: np.ndarray, b: float):
+        self.live, self.w, self.b = live, np.append(w, 0.0), float(b)
+
+    def sums(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return _sum(self.w[lookup(ids, self.live)], at) + self.b
 
     def scores(self, column: pa.Array) -> np.ndarray:
         out = np.zeros(len(column))
         for i, j, f, at in features(column):
-            out[i:j] = _sum(self.w[f], at) + self.b
+            out[i:j] = self.sums(f, at)
         return out
 
 
@@ -254,11 +268,41 @@ def fit(docs: DataFrame, labels: DataFrame, max_positives: int = 10_000, max_unl
     n_good, n_docs = good.count(), texts.count()
     picked = materialize(good.where(part(1) < share(max_positives, n_good)).select("doc_id"), "positives")
     # the bound on positives makes this side small at every scale
-    p = texts.where(part(1) < share(max_positives, n_good)).join(F.broadcast(picked), "doc_id").select("text", F.when(part(2) % 5 == 0, 2).otherwise(1).cast("long").alias("kind"))
-    u = texts.where(part(3) < share(max_unlabelled, n_docs)).select("text", F.lit(0).cast("long").alias("kind"))
-    sample = materialize(p.union(u), "training")
-    row = map_arrow(sample.repartition(1), _train_both, "model binary, ratio binary, held binary").first()
-    first = Model(np.frombuffer(row.model, np.float32))
+    p = texts.where(part(1) < share(max_positives, n_good)).join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.when(part(2) % 5 == 0, 2).otherwise(1).cast("long").alias("kind"))
+    u = texts.where(part(3) < share(max_unlabelled, n_docs)).select("doc_id", "text", F.lit(0).cast("long").alias("kind"))
+    # rows are named and ordered by a hash, so the model doesn't depend on how they lay
+    sample = materialize(p.union(u).select(F.xxhash64("doc_id", "kind", "text").alias("rid"), "kind", "text"), "training")
+    keyed = map_arrow(sample, _copies, "rid long, kind long, keys binary")
+    kept = materialize(map_arrow(keyed.repartition(1), _one_of_each, "rid long"), "kept")
+    # the bounds on the sample make this side small at every scale
+    sample = sample.join(F.broadcast(kept), "rid", "left_semi").select("rid", "kind", "text")
+    fitted = sample.where("kind <> 2")
+    sizes = dict.fromkeys((0, 1), 0) | {r.kind: r.n for r in fitted.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    counts = map_arrow(fitted, _count, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    found = significant(counts, sizes[1], sizes[0]).toArrow().sort_by("feature")
+    live, ratio = found["feature"].to_numpy(), found["ratio"].to_numpy().copy()
+
+    def places(batches):
+        for batch in batches:
+            for i, j, f, at in features(batch.column(2)):
+                where = lookup(f, live)
+                off = np.concatenate([[0], np.cumsum(where >= 0)])[at]
+                yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(where[where >= 0], pa.int32()))], names=["rid", "kind", "features"])
+
+    rows = materialize(map_arrow(sample, places, "rid long, kind long, features array<int>"), "features")
+
+    def both(batches):
+        """The discriminator, and the histogram of its scores of held-out positives."""
+        ids, at, kind = _csr(batches)
+        f_ids, f_at = _sub(ids, at, np.flatnonzero(kind != 2))
+        w, b = train(f_ids, f_at, kind[kind != 2] == 1, ratio, 0.0)
+        h_ids, h_at = _sub(ids, at, np.flatnonzero(kind == 2))
+        held = np.bincount(_bin(_sum(w[h_ids], h_at) + b), minlength=_BINS) if len(h_at) > 1 else np.zeros(_BINS, np.int64)
+        yield pa.record_batch([pa.array([np.append(w, b).tobytes()]), pa.array([held.astype(np.int64).tobytes()])], names=["w", "held"])
+
+    row = map_arrow(rows.repartition(1), both, "w binary, held binary").first()
+    w = np.frombuffer(row.w)
+    first = Model(live, w[:-1], w[-1])
     held = np.frombuffer(row.held, np.int64)
     sent = spark.sparkContext.broadcast(first)
 
@@ -273,16 +317,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_positives: int = 10_000, max_unl
     for r in map_arrow(texts.select("text"), histogram, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
         corpus[r.bin] = r.n
     prior = estimate_prior(held, corpus)
-    ratio = np.frombuffer(row.ratio, np.float32)
 
     def final(batches):
-        ids, at, kind = _collect(batches)
+        ids, at, kind = _csr(batches)
         w, b = train(ids, at, kind != 0, ratio, prior)
-        yield pa.record_batch([pa.array([np.append(w, b).astype(np.float32).tobytes()])], names=["model"])
+        yield pa.record_batch([pa.array([np.append(w, b).tobytes()])], names=["w"])
 
     # positives that were held out for the prior join the final fit
-    model = map_arrow(sample.repartition(1), final, "model binary").first().model
-    return Model(np.frombuffer(model, np.float32)), prior
+    w = np.frombuffer(map_arrow(rows.repartition(1), final, "w binary").first().w)
+    return Model(live, w[:-1], w[-1]), prior
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, with_score: bool = False, **params) -> DataFrame:

@@ -69,7 +69,7 @@ def test_risk_ignores_negative_labels(labelled, spark):
     docs, labels, _ = labelled
     a, _ = pu_quality.fit(docs, labels)
     b, _ = pu_quality.fit(docs, labels.where("quality = 1 and toxic = 0"))
-    assert np.array_equal(a.w, b.w) and a.b == b.b
+    assert np.array_equal(a.live, b.live) and np.array_equal(a.w, b.w) and a.b == b.b
 
 
 def test_classifier_awkward(spark, labelled):
