@@ -117,10 +117,28 @@ class Prefix:
         return mix((self.sums[ends] - self.sums[starts]) * _inverse[starts])
 
 
+def hash_spans(buf: np.ndarray, starts: np.ndarray, *ends: np.ndarray) -> list[np.ndarray]:
+    """The hashes of [starts, end) for each array of ends; starts ascend.
+
+    Prefix sums take 48 bytes a byte, so a long text is hashed piece by piece.
+    """
+    out = [np.empty(len(starts), U) for _ in ends]
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = int(np.searchsorted(starts, base + 2 * SLICE))
+        stop = max(int(e[i:j].max()) for e in ends)
+        sums = Prefix(buf[base:stop])
+        for o, e in zip(out, ends):
+            o[i:j] = sums.hash(starts[i:j] - base, e[i:j] - base)
+        i = j
+    return out
+
+
 def words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, word offsets by row)."""
     starts, ends, at = runs(buf, offsets, table)
-    return Prefix(buf).hash(starts, ends), at
+    return hash_spans(buf, starts, ends)[0], at
 
 
 _ODD = mix(np.arange(1, 513, dtype=U)) | U(1)

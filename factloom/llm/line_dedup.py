@@ -134,7 +134,7 @@ def lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     keep = start < end
     before = np.concatenate([[0], np.cumsum(keep)])
     start, end, full_end = start[keep], end[keep], full_end[keep]
-    return K.Prefix(buf).hash(start, end), start, full_end, before[at]
+    return K.hash_spans(buf, start, end)[0], start, full_end, before[at]
 
 
 def line_counts(docs: DataFrame) -> DataFrame:

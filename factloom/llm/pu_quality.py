@@ -38,6 +38,7 @@ from .near_dup import signatures
 
 #: Features are named by so many bits of a hash: enough that words of a web corpus don't share a name.
 BITS = 40
+_HEADS = (4, 5)
 _BINS = 1000
 _ROWS = pa.schema([("rid", pa.int64()), ("kind", pa.int64()), ("features", pa.list_(pa.int32()))])
 _UPPER = np.zeros(256, bool)
@@ -63,9 +64,8 @@ def features(column: pa.Array):
         off = low_off[i : j + 1] - low_off[i]
         buf = low[low_off[i] : low_off[j]]
         start, end, at = K.runs(buf, off, K.ALNUM)
-        sums = K.Prefix(buf)
-        word = sums.hash(start, end)
-        heads = [sums.hash(start, np.minimum(start + k, end)) + K.U(k) for k in (4, 5)]
+        word, *heads = K.hash_spans(buf, start, end, *(np.minimum(start + k, end) for k in _HEADS))
+        heads = [h + K.U(k) for k, h in zip(_HEADS, heads)]
         n = j - i
         row = np.repeat(np.arange(n), np.diff(at))
         same = np.concatenate([[False], (word[1:] == word[:-1]) & (row[1:] == row[:-1])]) if len(word) else np.zeros(0, bool)

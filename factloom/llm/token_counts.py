@@ -166,7 +166,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, remember: int =
             ids = batch.column(0)
             for i, j, buf, off in K.text_slices(batch.column(1)):
                 start, end, at = K.runs(buf, off, K.NOT_SPACE)
-                h = K.Prefix(buf).hash(start, end)
+                h = K.hash_spans(buf, start, end)[0]
                 distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
                 where = np.searchsorted(known, distinct)
                 old = where < len(known)

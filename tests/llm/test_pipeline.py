@@ -1,13 +1,15 @@
 """The pipeline by stages, and the llm queries against their SQL."""
 
-import os
 import random
 
 import pytest
 
 from tests.test_queries import SF, compare, duck  # noqa: F401 - a fixture
 
+from factloom.llm.packing import CAPACITY, best_fit
+
 from .helpers import SCHEMA, awkward, empty, prose, shingles
+from .test_dedup import brute_lines, groups_of
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -96,18 +98,33 @@ def test_run_equals_its_stages_one_by_one(spark, planted):
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, docs.collect()))
 
 
-def test_near_dedup_stage_against_brute_force(spark, planted):
-    folder, what, _ = planted
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/stage1.parquet").collect()} if os.path.isdir(f"{folder}/stage1.parquet") else None
-    if docs is None:
-        pytest.skip("the stages test made the input")
-    ids = [d for d in docs if d in set(what["copy"]) | set(what["clean"][:200])]
-    kept = {r.doc_id for r in spark.read.parquet(f"{folder}/stage2.parquet").collect()}
-    s = {d: shingles(docs[d], 3) for d in ids}
-    for a in ids:
-        for b in ids:
-            if a < b and len(s[a] & s[b]) >= 0.5 * len(s[a] | s[b]):
-                assert not (a in kept and b in kept)
+def test_stages_equal_brute_force(spark, planted):
+    """Each stage after the classifier, on its own input, against plain Python."""
+    folder, _, _ = planted
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id % 3 <> 1 or doc_id > 900")
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()}
+    texts = lambda df: {r.doc_id: r.text for r in df.collect()}
+    stage = dict(corpus_pipeline.STAGES)
+    before = texts(docs)
+    deduped = stage["line dedup"](spark, docs, folder)
+    assert texts(deduped) == brute_lines(list(before.items()), 20)
+    single = stage["MinHash near-dedup"](spark, docs, folder)
+    groups, _ = groups_of(list(before.items()))
+    assert set(texts(single)) == {d for d in before if groups.get(d, d) == d}
+    clean = stage["benchmark decontamination"](spark, docs, folder)
+    held = lambda t: any(len(shingles(x, 5) & shingles(t, 5)) >= 0.6 * len(shingles(x, 5)) for x in items.values())
+    assert texts(clean) == {d: t for d, t in before.items() if not held(t)}
+    packed = stage["best-fit packing"](spark, docs, folder).collect()
+    load = {}
+    for r in packed:
+        load.setdefault((r.group_id, r.bin_id), []).append(r.n_tokens)
+    by_group = {}
+    for (g, _), n in load.items():
+        assert sum(n) <= CAPACITY
+        by_group.setdefault(g, []).append(n)
+    for bins in by_group.values():
+        sizes = [x for n in bins for x in n]
+        assert len(bins) <= len(best_fit(sorted(sizes, reverse=True), CAPACITY))
 
 
 @pytest.mark.parametrize("make", [awkward, empty])
