@@ -255,14 +255,23 @@ def chunk_conversations(spark, sf):
     return tr.chunk(talk.select(F.col("session").cast("string").alias("session"), "project", "text"), TEST)
 
 
-@query()
-def preprocess_transcripts(spark, sf):
-    """Transcript lines as JSON, through the whole of preprocessing."""
+def _json_lines(spark, sf):
+    """Conversations as transcript lines: users' texts as strings, assistants' as blocks."""
     message = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.when(F.col("role") == "assistant", F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))).alias("content")).alias("message")))
     plain = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.col("text").alias("content")).alias("message")))
     c = table(spark, sf, "conversations")
     value = F.when(F.col("role") == "assistant", message).otherwise(plain)
-    return tr.preprocess(c.select(F.lit("p").alias("project"), F.col("conv_id").cast("string").alias("session"), F.lit(False).alias("aside"), F.col("turn").alias("line_no"), value.alias("value")), TEST)
+    return c.select(F.lit("p").alias("project"), F.col("conv_id").cast("string").alias("session"), F.lit(False).alias("aside"), F.col("turn").alias("line_no"), value.alias("value"))
+
+
+@query(f"WITH {TURNS_SQL} SELECT session::VARCHAR AS session, line_no, role, CASE WHEN role = 'Assistant' AND NOT ends_with(text, chr(10)) THEN text || chr(10) ELSE text END AS text FROM turns WHERE text <> ''")
+def transcript_turns(spark, sf):
+    return tr.record_turns(_json_lines(spark, sf), TEST).select("session", "line_no", "role", "text")
+
+
+@query()
+def preprocess_transcripts(spark, sf):
+    return tr.preprocess(_json_lines(spark, sf), TEST)
 
 
 @query("SELECT doc_id, substr('d' || doc_id || '-0123-4567', 1, 8) AS short, string_split('/x/p' || doc_id || '.jsonl', '/')[3][:-7] AS session FROM documents")
