@@ -51,7 +51,7 @@ class StubModel:
             first = prompt.split("FACTS", 1)[1].strip().splitlines()
             return json.dumps({"content": first[-1].lstrip("- ") if first else "", "category": "pattern", "confidence": 0.8})
         found = re.findall(r"\b(?:prefer|use|decided on|like)s? ([\w -]{3,60})", prompt.rsplit("<conversation>", 1)[-1])
-        return json.dumps([{"content": f"Prefers {x.strip()}", "scope": "personal", "category": "preference", "entity": x.split()[0].lower(), "confidence": 0.9, "scope_confidence": 0.9} for x in found])
+        return json.dumps([dict(content=f"Prefers {x.strip()}", entity=x.split()[0].lower(), category="preference", scope="personal", confidence=0.9, scope_confidence=0.9) for x in found])
 
     def chat(self, messages: list[tuple[str, str]], max_tokens: int) -> str:
         return self.generate(messages[-1][1], max_tokens)

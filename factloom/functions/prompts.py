@@ -11,9 +11,9 @@ EXTRACT = (
     "entity (a short key or null), confidence and scope_confidence (0 to 1). Leave out passing steps. Answer with nothing but the array."
 )
 EXTRACT_SHOTS = [
-    ("<conversation>\nHuman: I always write tests first.\n</conversation>", '[{"content": "Writes tests first", "scope": "personal", "category": "pattern", "entity": "testing", "confidence": 0.9, "scope_confidence": 0.9}]'),
+    ("<conversation>\nHuman: I always write tests first.\n</conversation>", '[{"scope": "personal", "scope_confidence": 0.9, "content": "Writes tests first", "entity": "testing", "category": "pattern", "confidence": 0.9}]'),
     ("<conversation>\nHuman: run it again\n</conversation>", "[]"),
-    ("<conversation>\nHuman: here we store times in UTC.\n</conversation>", '[{"content": "Stores times in UTC", "scope": "project", "category": "decision", "entity": "time", "confidence": 0.85, "scope_confidence": 0.9}]'),
+    ("<conversation>\nHuman: here we store times in UTC.\n</conversation>", '[{"scope": "project", "scope_confidence": 0.9, "content": "Stores times in UTC", "entity": "time", "category": "decision", "confidence": 0.85}]'),
 ]
 CURATE = (
     "You check candidate facts against the conversation that they were drawn from. For each candidate decide: keep, keep_as_project, drop, or merge:N with candidate N. "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCOPES = ("personal", "project")
-CATEGORIES = ("fact", "preference", "decision", "pattern", "context", "interest", "humor", "opinion")
+CATEGORIES = tuple("fact preference decision pattern context interest humor opinion".split())
 LIFECYCLES = ("candidate", "accepted")
 #: The session of rows that consolidation made.
 SETTLED = "settling"

@@ -112,7 +112,7 @@ class FactStore:
     def insert_placeholder(self, id_: str, content: str, dim: int = 768, confidence: float = 0.5, accept_from: float = 0.85, **columns) -> int:
         """A row with a zero vector, for trying things out."""
         now = F.current_timestamp()
-        given = {"scope": "project", "category": "fact", "entity": None, "source_project": None, "source_session": "debug"} | columns
+        given = dict(source_session="debug", scope="project", category="fact", entity=None, source_project=None) | columns
         row = self.spark.range(1).select(
             F.lit(id_).alias("id"), F.lit(content).alias("content"), F.array_repeat(F.lit(0.0).cast("float"), dim).alias("embedding"), F.lit(dim).alias("embedding_dim"),
             *[F.lit(v).cast("string").alias(k) for k, v in given.items()], *[now.alias(c) for c in ("source_timestamp", "created_at", "updated_at")],

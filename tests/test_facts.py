@@ -24,7 +24,7 @@ def facts(spark, rows):
     """Rows from dicts; what isn't given is plausible."""
     full = []
     for k, r in enumerate(rows):
-        base = {"id": f"id{k}", "content": f"content {k}", "embedding": [1.0, 0.0], "scope": "project", "category": "fact", "entity": None, "source_project": "alpha", "source_session": f"s{k}", "lifecycle": "accepted", "confidence": 0.9, "supersedes": None, "superseded_by": None, "at": 1_700_000_000 + k} | r
+        base = dict(id=f"id{k}", at=1_700_000_000 + k, content=f"content {k}", embedding=[1.0, 0.0], lifecycle="accepted", scope="project", source_project="alpha", source_session=f"s{k}", entity=None, category="fact", confidence=0.9, supersedes=None, superseded_by=None) | r
         base["embedding"] = [float(x) for x in base["embedding"]]
         full.append(tuple(base[c] for c in ("id", "content", "embedding", "scope", "category", "entity", "source_project", "source_session", "lifecycle", "confidence", "supersedes", "superseded_by", "at")))
     df = spark.createDataFrame(full, "id string, content string, embedding array<float>, scope string, category string, entity string, source_project string, source_session string, lifecycle string, confidence float, supersedes string, superseded_by string, at long")

@@ -7,7 +7,7 @@ import pytest
 from factloom.functions import parsers as P
 from factloom.functions.text import cut_bytes, escape_like, tail_bytes
 
-A = {"content": "uses tabs", "scope": "project", "category": "fact", "entity": None, "confidence": 0.9, "scope_confidence": 0.8}
+A = dict(scope_confidence=0.8, confidence=0.9, entity=None, category="fact", scope="project", content="uses tabs")
 B = {**A, "content": 'says "no" [sometimes] {really}', "entity": "tone"}
 one, two = json.dumps(A), json.dumps(B)
 
@@ -35,8 +35,8 @@ def test_candidates(text, want):
 
 
 def test_candidate_defaults():
-    got = P.parse_candidates('[{"content": "c", "scope": "personal", "category": "fact"}]')
-    assert got == [{"content": "c", "scope": "personal", "category": "fact", "entity": None, "confidence": 0.5, "scope_confidence": 0.5}]
+    got = P.parse_candidates('[{"scope": "personal", "content": "c", "category": "fact"}]')
+    assert got == [dict(entity=None, confidence=0.5, scope_confidence=0.5, content="c", scope="personal", category="fact")]
 
 
 @pytest.mark.parametrize("text", ["no json here", '{"a": 1}', "[1, 2", '[{"content": 3}]'])
@@ -50,13 +50,13 @@ def actions(text, n):
 
 
 def test_decisions():
-    plain = '[{"index": 0, "action": "drop", "reason": "passing"}, {"index": 2, "action": "merge:0"}, {"index": 1, "action": "keep_as_project"}]'
+    plain = '[{"reason": "passing", "action": "drop", "index": 0}, {"action": "merge:0", "index": 2}, {"action": "keep_as_project", "index": 1}]'
     assert actions(plain, 3) == ["drop", "keep_as_project", "merge:0"]
     assert actions("<think>[maybe]</think>" + plain, 3) == actions(plain, 3) == actions(f"```\n{plain}\n```", 3) == actions(f"Here: {plain}.", 3)
     assert actions('[{"index": 1, "action": "drop"}]', 3) == ["keep", "drop", "keep"]
     assert actions('[{"index": 7, "action": "drop"}, {"index": 0, "action": "ponder"}]', 1) == ["keep"]
     assert actions('[{"index": 0, "action": "drop"}, {"index": 0, "action": "keep"}]', 1) == ["drop"]
-    assert actions('[{"index": 0, "action": "merge:x"}, {"index": 1, "action": "drop"}]', 2) == ["keep", "keep"]
+    assert actions('[{"action": "merge:x", "index": 0}, {"action": "drop", "index": 1}]', 2) == ["keep", "keep"]
     assert actions('[{"index": "0", "action": "drop"}]', 1) == actions("garbage", 1) == actions(None, 1) == ["keep"]
     assert P.parse_decisions("garbage", 0) == []
 
