@@ -9,8 +9,9 @@ for: they are the same wherever the same words are, in every task, without a
 table of names.  So equal passages get equal symbols in their interior, and only
 a few symbols at their ends depend on what surrounds them.
 
-1. One scan emits the symbols left after the rounds (about five words each)
-   with their document; Spark finds those of two or more documents.
+1. One scan emits the high-level symbols left after the rounds, those of 4 words
+   or more (ten on average), with their document; Spark finds those of two or
+   more documents.  Shorter ones are shared by chance and reveal nothing.
 2. A second scan parses again and takes every place of a shared symbol.  Around
    it, each window of ``min_words`` words that contains the symbol is emitted by
    its fingerprint.  Spark keeps the windows that occur in two or more documents:
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from ..sources.workspace import map_arrow, materialize
 from . import _kernels as K
 
-MIN_WORDS, ROUNDS, LONGEST = 50, 6, 16
+MIN_WORDS, ROUNDS, LONGEST, LEAST = 50, 8, 16, 4
 
 
 def parse(names: np.ndarray, at: np.ndarray, rounds: int, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,7 +72,7 @@ def parse(names: np.ndarray, at: np.ndarray, rounds: int, longest: int = LONGEST
 
 
 def _symbols(docs: DataFrame, rounds: int) -> DataFrame:
-    """(symbol, doc_id, first, size): the parsed documents."""
+    """(symbol, doc_id, first, size): the symbols of at least ``LEAST`` words."""
 
     def run(batches):
         for batch in batches:
@@ -79,9 +80,11 @@ def _symbols(docs: DataFrame, rounds: int) -> DataFrame:
             for i, j, buf, off in K.text_slices(batch.column(1), lower=True):
                 word, at = K.words(buf, off)
                 name, start, row = parse(word, at, rounds)
-                if len(name):
-                    end = np.append(start[1:], len(word))
-                    yield pa.record_batch([pa.array(K.as_signed(name)), ids.slice(i, j - i).take(pa.array(row)), pa.array((start - at[row]).astype(np.int32)), pa.array((end - start).astype(np.int32))], names=["symbol", "doc_id", "first", "size"])
+                size = np.diff(np.append(start, len(word)))
+                high = np.flatnonzero(size >= LEAST)
+                if len(high):
+                    name, start, row, size = name[high], start[high], row[high], size[high]
+                    yield pa.record_batch([pa.array(K.as_signed(name)), ids.slice(i, j - i).take(pa.array(row)), pa.array((start - at[row]).astype(np.int32)), pa.array(size.astype(np.int32))], names=["symbol", "doc_id", "first", "size"])
 
     return map_arrow(docs, run, "symbol long, doc_id long, first int, size int")
 
