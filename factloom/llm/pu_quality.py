@@ -16,11 +16,11 @@ of its words, and the cuts reached by its shares of symbols, inner capitals, rep
 words, digits and long words.  Each is weighted by its document-frequency log ratio between the
 two samples where that is significant, else by 0.
 
-The training sample is bounded by ``max_positives`` and ``max_unlabelled``
-documents, taken by a hash of doc_id over the whole tables.  Spark counts its
-features; what is left of them for each text is small and trains in one task.
-The estimate of pi and the scores cover every document.  Negative labels
-are never used.
+Document frequencies are counted over every document and every trusted positive,
+near copies once.  The fit covers every document too: unlabelled rows are cut by
+a hash into shards of about ``max_unlabelled``, each trained in its own task
+against the same ``max_positives`` positives, and the weights are averaged.  Only
+that sample of labelled rows is bounded.  Negative labels are never used.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +40,12 @@ from .near_dup import signatures
 BITS = 40
 _HEADS = (4, 5)
 _BINS = 1000
-_ROWS = pa.schema([("rid", pa.int64()), ("kind", pa.int64()), ("features", pa.list_(pa.int32()))])
+#: Near copies share one of so many keys, each of 6 MinHash values: unrelated texts of a large corpus hardly ever do.
+_KEYS = 16
+#: Features that a task holds before it hands their counts on.
+_HELD = 1_000_000
+#: Marks of documents: a copy of another one, counted as a positive, in the sample of positives, held out for the prior.
+_COPY, _COUNTED, _SAMPLED, _HELD_OUT = 1, 2, 4, 8
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _DIGIT = np.zeros(256, bool)
@@ -184,57 +189,53 @@ def _bin(score: np.ndarray) -> np.ndarray:
 
 
 def _copies(batches):
-    """(rid, kind, keys): 24 band keys a text by which near copies are found; null for texts without words."""
+    """(rid, doc_id, keys): the keys by which near copies of a text are found; null for texts without words."""
     for batch in batches:
         for i, j, buf, off in K.text_slices(batch.column(2), lower=True):
             h, row = K.shingles(*K.words(buf, off), 3)
-            keys: list = [None] * (j - i)
+            has, keys = np.zeros(j - i, bool), np.zeros(0, np.int64)
             if len(h):
                 at = np.concatenate([[0], np.flatnonzero(row[1:] != row[:-1]) + 1])
-                for r, sig in zip(row[at], signatures(h, at, 96)):
-                    keys[r] = sig.tobytes()
-            yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(keys, pa.binary())], names=["rid", "kind", "keys"])
-
-
-def _one_of_each(batches):
-    """The rows of a task, without those that share a band key with an earlier one of their kind.
-
-    Copies would make the words of a text that was copied often look typical of
-    unlabelled text.
-    """
-    rids, kinds, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 24), K.U)]
-    for batch in batches:
-        rids.append(batch.column(0).to_numpy(zero_copy_only=False))
-        kinds.append(batch.column(1).to_numpy(zero_copy_only=False))
-        keys.append(np.array([np.frombuffer(x or bytes(192), K.U) for x in batch.column(2).to_pylist()], K.U).reshape(-1, 24))
-    rid, kind, key = np.concatenate(rids), np.concatenate(kinds), np.concatenate(keys)
-    order = np.argsort(rid)
-    rid, kind, key = rid[order], kind[order], key[order]
-    keep = np.ones(len(rid), bool)
-    for band in range(24):
-        first = np.zeros(len(rid), bool)
-        first[np.unique(K.mix(key[:, band]) ^ K.mix((kind != 0).astype(K.U)), return_index=True)[1]] = True
-        keep &= first | (key[:, band] == 0)
-    yield pa.record_batch([pa.array(rid[keep])], names=["rid"])
-
-
-def _count(batches):
-    """(feature, p, u): documents of either kind, added up by slice."""
-    for batch in batches:
-        kind = batch.column(1).to_numpy(zero_copy_only=False)
-        for i, j, f, at in features(batch.column(2)):
-            positive = np.repeat(kind[i:j] == 1, np.diff(at))
-            ids, place, n = np.unique(f, return_inverse=True, return_counts=True)
-            p = np.bincount(place, positive, len(ids)).astype(np.int64)
-            yield pa.record_batch([pa.array(ids), pa.array(p), pa.array(n - p)], names=["feature", "p", "u"])
-
-
-def _csr(batches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, offsets, kind) of all rows of a task, ordered by rid."""
-    rows = pa.Table.from_batches(batches, _ROWS).sort_by("rid")
+                has[row[at]] = True
+                sig = signatures(h, at, 6 * _KEYS).reshape(len(at), _KEYS, 6).astype(K.U)
+                key = np.broadcast_to(np.arange(_KEYS, dtype=K.U), sig.shape[:2])
+                for part in (0, 3):
+                    key = K.mix(key ^ K.mix(sig[:, :, part] | (sig[:, :, part + 1] << K.U(16)) | (sig[:, :, part + 2] << K.U(32)) | K.U(1 << 48)))
+                keys = K.as_signed(key.reshape(-1))
+            off = np.concatenate([[0], np.cumsum(has * _KEYS)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(off), pa.array(keys), mask=pa.array(~has))
+            yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), lists], names=["rid", "doc_id", "keys"])
+
+
+def _added(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, place = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+    return ids, *(np.bincount(place, np.concatenate([x[k] for x in parts]), len(ids)).astype(np.int64) for k in (1, 2))
+
+
+def _count(stream):
+    """(feature, p, u): counted positives and documents other than copies that hold it, added up by task."""
+    parts, size = [], 0
+    for _, mark, column in stream:
+        for i, j, f, at in features(column):
+            m = np.repeat(mark[i:j], np.diff(at))
+            parts.append(_added([(f, (m & _COUNTED) != 0, (m & _COPY) == 0)]))
+            size += len(parts[-1][0])
+            if size > _HELD:
+                parts = [_added(parts)]
+                size = len(parts[0][0])
+                if 2 * size > _HELD:
+                    yield pa.record_batch([pa.array(x) for x in parts[0]], names=["feature", "p", "u"])
+                    parts, size = [], 0
+    if parts:
+        yield pa.record_batch([pa.array(x) for x in _added(parts)], names=["feature", "p", "u"])
+
+
+def _csr(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, offsets, marks) of the rows, ordered by rid."""
+    rows = rows.sort_by("rid")
     sizes = pc.list_value_length(rows["features"]).to_numpy()
     ids = rows["features"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return ids.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), rows["kind"].to_numpy()
+    return ids.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), rows["mark"].to_numpy()
 
 
 class Model:
@@ -253,79 +254,114 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positives: int = 10_000, max_unlabelled: int = 20_000) -> tuple[Model, float]:
+def _marked(texts: DataFrame, marks: DataFrame, function, schema: str, max_broadcast: int) -> DataFrame:
+    """``function`` of the (rid, mark, texts) of each batch of a task, all that ``marks`` doesn't hold having mark 0.
+
+    Up to ``max_broadcast`` marks are broadcast and looked up where the texts lie; beyond that they are joined.
+    """
+    if marks.count() > max_broadcast:
+        src = texts.join(marks, "rid", "left").select("rid", "text", F.coalesce("mark", F.lit(0)).cast("long").alias("mark"))
+        return map_arrow(src, lambda batches: function((b.column(0), b.column(2).to_numpy(), b.column(1)) for b in batches), schema)
+    rows = marks.toArrow().sort_by("rid")
+    sent = texts.sparkSession.sparkContext.broadcast((rows["rid"].to_numpy(), rows["mark"].to_numpy().astype(np.uint8)))
+
+    def stream(batches):
+        rid, mark = sent.value
+        for b in batches:
+            at = lookup(b.column(0).to_numpy(), rid)
+            yield b.column(0), np.where(at >= 0, mark[at] if len(mark) else 0, 0).astype(np.int64), b.column(1)
+
+    return map_arrow(texts.select("rid", "text"), lambda batches: function(stream(batches)), schema)
+
+
+def _fit_shards(rows: DataFrame, shards: int, positives: tuple[np.ndarray, np.ndarray], ratio: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """(weights, bias): the mean over shards of all unlabelled rows, each trained against the same positives."""
+    sent = rows.sparkSession.sparkContext.broadcast((*positives, ratio))
+
+    def one(table):
+        p_ids, p_at, ratio = sent.value
+        u_ids, u_at, _ = _csr(table)
+        positive = np.arange(len(p_at) + len(u_at) - 2) < len(p_at) - 1
+        w, b = train(np.concatenate([p_ids, u_ids]), np.concatenate([p_at, p_at[-1] + u_at[1:]]), positive, ratio, prior)
+        # whole numbers, so that sums don't depend on the order of the shards
+        delta = np.round(np.append(w - ratio, [b, 2.0**-40]) * 2.0**40).astype(np.int64)
+        at = np.flatnonzero(delta)
+        return pa.table({"place": at, "delta": delta[at]})
+
+    cut = rows.where(F.col("mark").bitwiseAND(_COPY) == 0).withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)))
+    found = cut.repartition(shards, "shard").groupBy("shard").applyInArrow(one, "place long, delta long").groupBy("place").agg(F.sum("delta").alias("delta")).toArrow()
+    total = np.zeros(len(ratio) + 2, np.int64)
+    total[found["place"].to_numpy()] = found["delta"].to_numpy()
+    mean = total[:-1] / 2.0**40 / max(total[-1], 1)
+    return ratio + mean[:-1], float(mean[-1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_positives: int = 10_000, max_unlabelled: int = 20_000, max_broadcast: int = 8_000_000) -> tuple[Model, float]:
     """(model, estimated share of good text).
 
-    ``max_positives`` and ``max_unlabelled`` bound the documents of the training
-    sample; a fifth of the positives is held out for the prior.
+    ``max_positives`` bounds the labelled documents of the gradient fit, a fifth of
+    which is held out for the prior; ``max_unlabelled`` is the size of the shards
+    into which all documents are cut for it.  Features are counted over all.
     """
-    spark = docs.sparkSession
     names = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    texts = docs.where("doc_id is not null").select(*names)
+    # rows are named and ordered by a hash, so the model doesn't depend on how they lay
+    texts = docs.where("doc_id is not null").select(*names).withColumn("rid", F.xxhash64("doc_id", "text"))
     good = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False)).alias("ok")).groupBy("doc_id").agg(F.min("ok").alias("ok")).where("ok")
     part = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000))
-    share = lambda bound, n: min(1_000_000, round(1e6 * bound / max(n, 1)))
-    n_good, n_docs = good.count(), texts.count()
-    picked = materialize(good.where(part(1) < share(max_positives, n_good)).select("doc_id"), "positives")
-    # the bound on positives makes this side small at every scale
-    p = texts.where(part(1) < share(max_positives, n_good)).join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.when(part(2) % 5 == 0, 2).otherwise(1).cast("long").alias("kind"))
-    u = texts.where(part(3) < share(max_unlabelled, n_docs)).select("doc_id", "text", F.lit(0).cast("long").alias("kind"))
-    # rows are named and ordered by a hash, so the model doesn't depend on how they lay
-    sample = materialize(p.union(u).select(F.xxhash64("doc_id", "kind", "text").alias("rid"), "kind", "text"), "training")
-    keyed = map_arrow(sample, _copies, "rid long, kind long, keys binary")
-    kept = materialize(map_arrow(keyed.repartition(1), _one_of_each, "rid long"), "kept")
-    # the bounds on the sample make this side small at every scale
-    sample = sample.join(F.broadcast(kept), "rid", "left_semi").select("rid", "kind", "text")
-    fitted = sample.where("kind <> 2")
-    sizes = dict.fromkeys((0, 1), 0) | {r.kind: r.n for r in fitted.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    counts = map_arrow(fitted, _count, "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    found = significant(counts, sizes[1], sizes[0]).toArrow().sort_by("feature")
+    keyed = map_arrow(texts.select("rid", "doc_id", "text"), _copies, "rid long, doc_id long, keys array<long>")
+    keyed = materialize(keyed.join(good, "doc_id", "left").select("rid", "doc_id", F.coalesce("ok", F.lit(False)).alias("good"), "keys"), "keys")
+    # copies would make the words of a text that was copied often look typical of unlabelled text
+    by = Window.partitionBy("key").orderBy("rid")
+    seen = keyed.select("rid", "good", F.explode("keys").alias("key")).select("rid", (F.rank().over(by) > 1).alias("u"), (F.col("good") & (F.min(F.when(F.col("good"), F.col("rid"))).over(by) < F.col("rid"))).alias("p"))
+    lost = seen.where("u or p").groupBy("rid").agg(F.max("u").alias("u"), F.max("p").alias("p"))
+    rows = materialize(keyed.join(lost, "rid", "left").select("rid", "doc_id", F.coalesce("u", F.lit(False)).alias("copy"), (F.col("good") & ~F.coalesce("p", F.lit(False))).alias("positive")), "rows")
+    n_u, n_good = rows.agg(F.count_if(~F.col("copy")), F.count_if("positive")).first()
+    sampled = F.col("positive") & (part(1) < min(1_000_000, round(1e6 * max_positives / max(n_good, 1))))
+    held_out = sampled & (part(2) % 5 == 0)
+    bit = lambda is_so, value: F.when(is_so, value).otherwise(0)
+    rows = rows.select("rid", (bit(F.col("copy"), _COPY) + bit(F.col("positive") & ~held_out, _COUNTED) + bit(sampled, _SAMPLED) + bit(held_out, _HELD_OUT)).alias("mark"))
+    n_p = rows.where(F.col("mark").bitwiseAND(_COUNTED) > 0).count()
+    marks = materialize(rows.where("mark > 0").dropDuplicates(["rid"]), "marks")
+    counts = _marked(texts, marks, _count, "feature long, p long, u long", max_broadcast).groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    found = significant(counts, n_p, n_u).toArrow().sort_by("feature")
     live, ratio = found["feature"].to_numpy(), found["ratio"].to_numpy().copy()
+    sent_live = docs.sparkSession.sparkContext.broadcast(live)
 
-    def places(batches):
-        for batch in batches:
-            for i, j, f, at in features(batch.column(2)):
-                where = lookup(f, live)
+    def places(stream):
+        for rid, mark, column in stream:
+            for i, j, f, at in features(column):
+                where = lookup(f, sent_live.value)
                 off = np.concatenate([[0], np.cumsum(where >= 0)])[at]
-                yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(where[where >= 0], pa.int32()))], names=["rid", "kind", "features"])
-
-    rows = materialize(map_arrow(sample, places, "rid long, kind long, features array<int>"), "features")
+                yield pa.record_batch([rid.slice(i, j - i), pa.array(mark[i:j]), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(where[where >= 0], pa.int32()))], names=["rid", "mark", "features"])
 
-    def both(batches):
-        """The discriminator, and the histogram of its scores of held-out positives."""
-        ids, at, kind = _csr(batches)
-        f_ids, f_at = _sub(ids, at, np.flatnonzero(kind != 2))
-        w, b = train(f_ids, f_at, kind[kind != 2] == 1, ratio, 0.0)
-        h_ids, h_at = _sub(ids, at, np.flatnonzero(kind == 2))
-        held = np.bincount(_bin(_sum(w[h_ids], h_at) + b), minlength=_BINS) if len(h_at) > 1 else np.zeros(_BINS, np.int64)
-        yield pa.record_batch([pa.array([np.append(w, b).tobytes()]), pa.array([held.astype(np.int64).tobytes()])], names=["w", "held"])
+    rows = materialize(_marked(texts, marks, places, "rid long, mark long, features array<int>", max_broadcast), "features")
+    # the bound on positives makes this side small at every scale
+    ids, at, mark = _csr(rows.where(F.col("mark").bitwiseAND(_SAMPLED) > 0).toArrow())
+    out = (mark & _HELD_OUT) != 0
+    shards = max(1, -(-n_u // max_unlabelled))
 
-    row = map_arrow(rows.repartition(1), both, "w binary, held binary").first()
-    w = np.frombuffer(row.w)
-    first = Model(live, w[:-1], w[-1])
-    held = np.frombuffer(row.held, np.int64)
-    sent = spark.sparkContext.broadcast(first)
+    # the discriminator, and the histograms of its scores of held-out positives and of all documents
+    w, b = _fit_shards(rows, shards, _sub(ids, at, np.flatnonzero(~out)), ratio, 0.0)
+    h_ids, h_at = _sub(ids, at, np.flatnonzero(out))
+    held = np.bincount(_bin(_sum(w[h_ids], h_at) + b), minlength=_BINS)
+    sent = docs.sparkSession.sparkContext.broadcast((w, b))
 
     def histogram(batches):
         total = np.zeros(_BINS, np.int64)
+        w, b = sent.value
         for batch in batches:
-            total += np.bincount(_bin(sent.value.scores(batch.column(0))), minlength=_BINS)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["bin", "n"])
+            size = pc.list_value_length(batch.column(0)).to_numpy()
+            score = _sum(w[batch.column(0).flatten().to_numpy()], np.concatenate([[0], np.cumsum(size)])) + b
+            total += np.bincount(_bin(score), minlength=_BINS)
+        k = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(k), pa.array(total[k])], names=["bin", "n"])
 
     corpus = np.zeros(_BINS, np.int64)
-    for r in map_arrow(texts.select("text"), histogram, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+    for r in map_arrow(rows.select("features"), histogram, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
         corpus[r.bin] = r.n
     prior = estimate_prior(held, corpus)
-
-    def final(batches):
-        ids, at, kind = _csr(batches)
-        w, b = train(ids, at, kind != 0, ratio, prior)
-        yield pa.record_batch([pa.array([np.append(w, b).tobytes()])], names=["w"])
-
     # positives that were held out for the prior join the final fit
-    w = np.frombuffer(map_arrow(rows.repartition(1), final, "w binary").first().w)
-    return Model(live, w[:-1], w[-1]), prior
+    return Model(live, *_fit_shards(rows, shards, (ids, at), ratio, prior)), prior
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, with_score: bool = False, **params) -> DataFrame:

@@ -83,6 +83,18 @@ def test_classifier_awkward(spark, labelled):
     assert keep_good(docs, model, with_score=True).columns == [*docs.columns, "__score"]
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_rare_bad_words_of_all_documents_count(spark, limit):
+    """A word in 40 of 3,000 documents, of which a sample of 300 would hold 4."""
+    rng = random.Random(8)
+    docs = [(d, " ".join([f"w{rng.randint(0, 3000)}" for _ in range(60)] + ["rareinsult"] * (d % 75 == 1))) for d in range(3000)]
+    labels = [(d, 1, 0) for d in range(3000) if d % 3 == 0 and d % 75 != 1]
+    model, _ = pu_quality.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, LABELS), max_positives=400, max_unlabelled=300, max_broadcast=limit)
+    word = next(pu_quality.features(pa.array(["rareinsult"])))[2]
+    assert (pu_quality.lookup(word, model.live) >= 0).sum() == 3
+    assert model.scores(pa.array(["w1 w2 w3 rareinsult"]))[0] < model.scores(pa.array(["w1 w2 w3"]))[0] - 1
+
+
 # secret scan
 
 
