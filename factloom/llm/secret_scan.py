@@ -5,6 +5,8 @@ Candidate tokens are maximal runs of letters, digits, ``_ - + /`` of at least
 are trained from labelled samples, one on random strings (keys, hashes, tokens)
 and one on ordinary identifiers and words.  A token is a secret when the log of
 its likelihood ratio exceeds ``threshold``, the log prior odds against secrets.
+Where a whole token doesn't, its best-scoring stretches of at least ``min_length``
+characters that do are secrets: those inside paths and behind prefixes.
 The scan runs once over the documents, without a shuffle; the model is two small
 tables of a fixed size.
 """
@@ -121,8 +123,57 @@ def score_text(table: np.ndarray, token: str) -> float:
     return total
 
 
+def stretches(ratio: np.ndarray, base: np.ndarray, min_length: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) in ``ratio`` of the secrets of each token [base[k], base[k + 1]).
+
+    A token that scores above the threshold is taken whole.  Of another one the
+    stretch of the greatest sum is taken if that is above it, and what is left on
+    either side is searched again.
+    """
+    total = np.concatenate([[0.0], np.cumsum(ratio)])
+    s, e = base[:-1], base[1:]
+    whole = np.round(total[e] - total[s], 4) > threshold
+    starts, ends = [s[whole]], [e[whole]]
+    s, e = s[~whole], e[~whole]
+    while True:
+        fits = e - s >= min_length
+        s, e = s[fits], e[fits]
+        if not len(s):
+            break
+        n = e - s - min_length + 1  # places where a stretch may begin, or end
+        at = np.concatenate([[0], np.cumsum(n)])
+        token = np.repeat(np.arange(len(s)), n)
+        begin = np.arange(at[-1]) - at[token] + s[token]
+        sums = total[begin] - total[s[token]]
+        drop = np.ptp(sums) + 1
+        # each token lies below all before it, so the running minimum starts anew
+        low = np.minimum.accumulate(sums - token * drop) + token * drop
+        gain = total[begin + min_length] - total[s[token]] - low
+        best = np.maximum.reduceat(gain, at[:-1])
+        hit = np.flatnonzero(best > threshold)
+        if not len(hit):
+            break
+        left, right, upto, from_ = [], [], [], []
+        for k in hit:
+            i, j = at[k], at[k + 1]
+            last = i + int(np.argmax(gain[i:j]))
+            first = i + int(np.argmin(sums[i : last + 1]))
+            a, b = begin[first], begin[last] + min_length
+            if round(total[b] - total[a], 4) > threshold:
+                left.append(a)
+                right.append(b)
+                upto += [s[k], b]
+                from_ += [a, e[k]]
+        starts.append(np.array(left, np.int64))
+        ends.append(np.array(right, np.int64))
+        s, e = np.array(upto, np.int64), np.array(from_, np.int64)
+    s, e = np.concatenate(starts), np.concatenate(ends)
+    order = np.argsort(s)
+    return s[order], e[order]
+
+
 def find_secrets(docs: DataFrame, samples: list[tuple[str, int]] | None = None, min_length: int = 16, threshold: float = 12.0) -> DataFrame:
-    """(doc_id, start, length, preview, score): every token that scores as a secret.
+    """(doc_id, start, length, preview, score): every token, or stretch of one, that scores as a secret.
 
     start and length count characters; preview is the first four characters, so
     the result doesn't spread the secret; score is rounded to 4 places.  Null and
@@ -151,16 +202,19 @@ def find_secrets(docs: DataFrame, samples: list[tuple[str, int]] | None = None,
                 code = _CODE[buf[np.repeat(s, size) + place]]
                 b = np.where(place >= 1, np.roll(code, 1), _A - 1)
                 a = np.where(place >= 2, np.roll(code, 2), _A - 1)
-                total = np.concatenate([[0.0], np.cumsum(table[a, b, code])])
-                score = np.round(total[base[1:]] - total[base[:-1]], 4)
-                hit = np.flatnonzero(score > threshold)
-                if not len(hit):
+                ratio = table[a, b, code]
+                total = np.concatenate([[0.0], np.cumsum(ratio)])
+                first, last = stretches(ratio, base, min_length, threshold)
+                if not len(first):
                     continue
+                score = np.round(total[last] - total[first], 4)
+                hit = np.searchsorted(base, first, "right") - 1
                 char = np.cumsum((buf & 0xC0) != 0x80)  # characters up to each byte
                 char = np.concatenate([[0], char])
-                s, e, r = s[hit], e[hit], row[hit]
+                r, s = row[hit], s[hit] + first - base[hit]
+                e = s + last - first
                 preview = [buf[x : x + 4].tobytes().decode() for x in s]
-                yield pa.record_batch([ids.slice(i, j - i).take(pa.array(r)), pa.array((char[s] - char[off[r]]).astype(np.int32)), pa.array((e - s).astype(np.int32)), pa.array(preview), pa.array(score[hit])], names=["doc_id", "start", "length", "preview", "score"])
+                yield pa.record_batch([ids.slice(i, j - i).take(pa.array(r)), pa.array((char[s] - char[off[r]]).astype(np.int32)), pa.array((e - s).astype(np.int32)), pa.array(preview), pa.array(score)], names=["doc_id", "start", "length", "preview", "score"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_arrow(src, run, RESULT)
