@@ -169,6 +169,19 @@ def test_dedup_lines_is_exact(spark, limit):
 
 
 @pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_default_threshold_is_that_of_sql_and_readme(spark, limit):
+    from pathlib import Path
+
+    from factloom.llm.queries import OP4_SQL
+
+    docs = [(d, "\n".join([f"own {d}", *(f"line of {n}" for n in (2, 4, 5, 19, 20) if d < n)])) for d in range(25)]
+    got = {r.doc_id: r.text for r in dedup_lines(frame(spark, docs), max_broadcast=limit).collect()}
+    assert got == {d: "\n".join([f"own {d}", *(f"line of {n}" for n in (2, 4, 5, 19, 20) if d < n and (d == 0 or n < 5))]) for d in range(25)}
+    assert f"docs >= {line_dedup.MIN_DOCS} " in OP4_SQL
+    assert f"a line of {line_dedup.MIN_DOCS} or more documents" in (Path(__file__).parents[2] / "README.md").read_text()
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 0])
 def test_dedup_lines_awkward(spark, limit):
     same = [(20 + k, f"shared line\nown line {k}") for k in range(6)]
     docs = awkward(spark, same)
