@@ -235,6 +235,14 @@ def test_templates_match_brute_force(spark, limit):
         assert "home" not in got[k][1] and "about" not in got[k][1] and len(got[k][1].split("\n")) == 3
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_section_templates_of_a_large_host(spark, limit):
+    """Of 900 pages: menus on 9 go, a paragraph on 8, which is under 1 %, stays."""
+    page = lambda k: f"<body><nav>section {k // 9}</nav><p>text of page {k}</p>{'<p>eight times</p>' * (k % 110 == 5 and k < 800)}</body>"
+    got = {r.page_id: (r.text, r.n_removed) for r in extract_text(spark.createDataFrame([(k, "http://big.com/", page(k)) for k in range(900)], "page_id long, url string, html string"), max_broadcast=limit).collect()}
+    assert got == {k: (f"text of page {k}" + "\neight times" * (k % 110 == 5 and k < 800), 1) for k in range(900)}
+
+
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_html_awkward(spark, limit):
     rows = [(1, None, None), (None, "http://x.y/", "<p>t"), (2, "bad url", ""), (3, "http://x.y/", "<" * 3000 + "p>"), (3, "http://x.y/", "<a href=\"" * 500), (None, None, None)]
