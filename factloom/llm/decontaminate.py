@@ -35,6 +35,8 @@ def bins_for(size: int, item: int, threshold: float, miss: float) -> int:
 
     A shingle is its bin's minimum with p = (1 - exp(-x)) / x at x shingles a
     bin; an item shares at least threshold * item of them, each with chance p.
+    Where 64 bins a shingle are too few for that, each of the 48 bits' values is a
+    bin, so all shingles are looked up.
     """
     need = max(1, math.ceil(threshold * item - 1e-9))
     bins = 16
@@ -42,9 +44,9 @@ def bins_for(size: int, item: int, threshold: float, miss: float) -> int:
         x = size / bins
         p = (1 - math.exp(-x)) / x
         if (1 - p) ** need <= miss:
-            break
+            return bins
         bins *= 2
-    return bins
+    return 1 << 48
 
 
 class Index:
