@@ -10,7 +10,7 @@ from factloom.llm import _kernels as K
 from factloom.llm import html_templates, pu_quality, secret_scan, token_counts
 from factloom.llm.host_quality import host_verdicts, judge_documents, keep_by_rules
 from factloom.llm.html_templates import Page, extract_text
-from factloom.llm.packing import CAPACITY, best_fit, lower_bound, pack, pack_documents
+from factloom.llm.packing import CAPACITY, best_fit, fillings, lower_bound, pack, pack_documents
 from factloom.llm.pu_quality import estimate_prior, keep_good
 from factloom.llm.secret_scan import find_secrets, labelled_samples, score_text
 
@@ -312,7 +312,7 @@ def test_pack_is_optimal_on_small_instances():
     gained = 0
     for _ in range(60):
         sizes = [rng.randint(15, 70) for _ in range(11)]
-        bins = pack(sizes, 100, nodes=10**6, branch=10**6)
+        bins = pack(sizes, 100, nodes=10**6)
         assert sorted(k for b in bins for k in b) == list(range(11)) and all(sum(sizes[k] for k in b) <= 100 for b in bins)
         assert len(bins) == optimum(sizes, 100)
         gained += len(best_fit(sorted(sizes, reverse=True), 100)) - len(bins)
@@ -329,6 +329,57 @@ def test_pack_bounds():
     assert pack([], 10) == [] and lower_bound([], 10) == 0
 
 
+def brute_fillings(sizes, counts, room, waste):
+    """Every multiset within the waste, without those that a swap of one piece for no larger ones improves."""
+    from itertools import combinations, product
+
+    out = set()
+    for c in product(*(range(n + 1) for n in counts)):
+        rest = room - sum(a * s for a, s in zip(c, sizes))
+        inside = [s for a, s in zip(c, sizes) for _ in range(a)]
+        groups = [x for n in range(1, len(inside) + 1) for x in combinations(inside, n)]
+        outside = [s for a, s in zip(c, sizes) if not a]
+        if 0 <= rest <= waste and not any(x <= rest for a, x, n in zip(c, sizes, counts) if a < n) and not any(sum(g) <= x <= sum(g) + rest for g in groups for x in outside):
+            out.add((rest, c))
+    return out
+
+
+def test_fillings_match_brute_force():
+    rng = random.Random(11)
+    for _ in range(60):
+        sizes = sorted(rng.sample(range(2, 30), 6), reverse=True)
+        counts = [rng.randint(1, 2) for _ in sizes]
+        room, waste = rng.randint(20, 60), rng.randint(0, 12)
+        got = [f for f in fillings(sizes, counts, room, waste) if f]
+        listed = [(rest, tuple(taken.get(k, 0) for k in range(6))) for rest, taken in got]
+        assert len(set(listed)) == len(listed) and [r for r, _ in listed] == sorted(r for r, _ in listed)
+        assert set(listed) == brute_fillings(sizes, counts, room, waste)
+
+
+def test_pack_searches_groups_of_any_size():
+    rng = random.Random(7)
+    sizes = [rng.randint(200, 900) for _ in range(902)]
+    assert len(pack(sizes, 2048)) == lower_bound(sizes, 2048) < len(best_fit(sorted(sizes, reverse=True), 2048))
+
+
+def test_production_bounds_reach_the_lower_bound(spark):
+    """Whole groups of test data, with and without the bound on fillings."""
+    lengths = [r[0] % CAPACITY for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").orderBy("doc_id").selectExpr("ceil(octet_length(text) / 4)").collect() if r[0] % CAPACITY]
+    for k in range(0, 10_000, 2000):
+        assert len(pack(lengths[k : k + 2000], CAPACITY)) <= lower_bound(lengths[k : k + 2000], CAPACITY) + 1
+
+
+def test_null_and_repeated_ids_are_spread_over_groups(spark):
+    rng = random.Random(3)
+    docs = [(None, "z" * rng.randint(1, 4000)) for _ in range(600)] + [(7, "same text")] * 600
+    rows = pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), group_docs=100).collect()
+    groups = {}
+    for r in rows:
+        groups[r.group_id] = groups.get(r.group_id, 0) + 1
+    assert len(rows) == 1200 and len(groups) == 12 and max(groups.values()) < 180
+    assert sum(r.n_tokens for r in rows) == sum(-(-len(t) // 4) for _, t in docs)
+
+
 def test_pack_documents_round_trip(spark):
     rng = random.Random(6)
     docs = awkward(spark, [(100 + k, "z" * rng.randint(0, 30_000)) for k in range(120)])
