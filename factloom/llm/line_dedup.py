@@ -1,8 +1,8 @@
 """Line dedup over a sharded minimal perfect hash.
 
 One scan counts, for each distinct line hash, the documents that hold the line
-and the least of their ids.  The lines of two or more documents form the index,
-cut into shards by the top bits of the hash.  A shard is a minimal perfect hash
+and the least of their ids.  The lines of enough documents to be removed form the
+index, cut into shards by bits of the hash.  A shard is a minimal perfect hash
 (levels of bit arrays: a key settles at the first level where no other key wants
 its bit; its slot is the rank of that bit) over compact arrays of fingerprints,
 document counts and first documents.  Documents then probe the arrays: a key
@@ -10,8 +10,10 @@ outside the index lands on a slot with another fingerprint and counts once.
 
 Up to ``max_broadcast`` bytes of shards are broadcast and probed where the
 documents lie, without a shuffle.  Beyond that only line hashes travel, 8 bytes
-with their document and position, each to the task that holds its shard.  Both
-give the same result.
+with their document, each to a task that is sent its shard.  A shard is sent to as
+many tasks as it takes for all to have work, and the documents of its lines are
+spread over them, so a line of very many documents is no task's alone; a task
+reads its lines as a stream.  Both ways give the same result.
 """
 
 from __future__ import annotations
@@ -120,25 +122,23 @@ def lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """(hash, start, end, line offsets by row) of the lines that aren't blank, without outer spaces."""
     start, end, at = K.runs(buf, offsets, K.NOT_NEWLINE)
     full_end = end.copy()
-    space = ~K.NOT_SPACE
-    while len(start):
-        more = np.flatnonzero((start < end) & space[buf[np.minimum(start, len(buf) - 1)]])
-        if not len(more):
-            break
-        start[more] += 1
-    while len(start):
-        more = np.flatnonzero((start < end) & space[buf[end - 1]])
-        if not len(more):
-            break
-        end[more] -= 1
+    # blanks at either end are skipped by whole runs of them
+    first, last, _ = K.runs(buf, offsets, ~K.NOT_SPACE)
+    if len(first) and len(start):
+        k = np.maximum(np.searchsorted(first, start, "right") - 1, 0)
+        inside = (first[k] <= start) & (start < last[k])
+        start = np.where(inside, np.minimum(last[k], end), start)
+        k = np.maximum(np.searchsorted(first, end, "left") - 1, 0)
+        inside = (first[k] < end) & (end <= last[k])
+        end = np.where(inside, np.maximum(first[k], start), end)
     keep = start < end
     before = np.concatenate([[0], np.cumsum(keep)])
     start, end, full_end = start[keep], end[keep], full_end[keep]
     return K.hash_spans(buf, start, end)[0], start, full_end, before[at]
 
 
-def line_counts(docs: DataFrame) -> DataFrame:
-    """(line, docs, first): each line hash of two or more documents."""
+def line_counts(docs: DataFrame, min_docs: int) -> DataFrame:
+    """(line, docs, first): each line hash of ``min_docs`` or more documents."""
 
     def count(batches):
         for batch in batches:
@@ -157,7 +157,7 @@ def line_counts(docs: DataFrame) -> DataFrame:
 
     src = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = map_arrow(src, count, "line long, docs long, first long")
-    return rows.groupBy("line").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).where("docs >= 2")
+    return rows.groupBy("line").agg(F.sum("docs").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs)
 
 
 def build_index(counts: DataFrame, shard_lines: int) -> DataFrame:
@@ -208,6 +208,14 @@ def _rewrite(buf: np.ndarray, off: np.ndarray, start: np.ndarray, at: np.ndarray
     return texts, total, lost
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it while ``taken`` has it."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shard_lines: int = 1_000_000, max_broadcast: int = 128 << 20) -> DataFrame:
     """``docs`` with repeated lines removed, and __n_lines, __n_dropped appended.
 
@@ -218,16 +226,18 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shard_lines: int = 1_
     where present as an integer, is recomputed for changed texts.  A null text
     stays null, a text whose lines all go becomes empty.  Rows with a null doc_id
     are neither counted nor changed.  Rows that repeat a doc_id count as often as
-    they occur and keep or lose lines alike.  An empty table stays empty.
+    they occur and keep or lose lines alike.  An empty table stays empty.  Where
+    docs has a column of an appended name, underscores are put before the new one.
     """
     spark = docs.sparkSession
-    index = build_index(line_counts(docs), shard_lines)
+    index = build_index(line_counts(docs, min_docs), shard_lines)
     size, n = index.agg(F.sum(F.length("blob")), F.max("n_shards")).first()
     n = int(n or 1)
     names = docs.columns
+    lines_name, dropped_name = fresh("__n_lines", names), fresh("__n_dropped", names)
     where = {c: names.index(c) for c in ("doc_id", "text")}
     resize = "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, (T.LongType, T.IntegerType))
-    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema.fields), T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())])
+    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema.fields), T.StructField(lines_name, T.LongType()), T.StructField(dropped_name, T.LongType())])
 
     def edit(batch, i, j, buf, off, start, at, drop):
         texts, total, lost = _rewrite(buf, off, start, at, drop)
@@ -240,7 +250,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shard_lines: int = 1_
             if resize:
                 k = names.index("n_chars")
                 columns[k] = pc.replace_with_mask(columns[k], mask, pc.cast(pc.utf8_length(new), columns[k].type))
-        return pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], names=[*names, "__n_lines", "__n_dropped"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], names=[*names, lines_name, dropped_name])
 
     def ids_of(batch):
         column = batch.column(where["doc_id"])
@@ -269,22 +279,39 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shard_lines: int = 1_
             for i, j, buf, off in K.text_slices(batch.column(1)):
                 h, start, _, at = lines(buf, off)
                 row = np.repeat(np.arange(j - i), np.diff(at))
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                once = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, bool)
+                h, row = h[once], row[once]
                 yield pa.record_batch([ids.slice(i, j - i).take(pa.array(row)), pa.array(K.as_signed(h)), pa.array(_shard_of(h, n))], names=["doc_id", "line", "shard"])
 
-    def lookup(key, left, right):
-        table = left
-        h = table["line"].to_numpy().view(K.U)
-        blob = right["blob"]
-        shards = {key[0].as_py(): Shard.unpack(blob[0].as_py())} if len(blob) else {}
-        count, first = _probe(shards, n, h)
-        ids = table["doc_id"].to_numpy()
-        return pa.table({"doc_id": ids, "line": table["line"]}).filter(pa.array((count >= min_docs) & (first != ids)))
+    def lookup(batches):
+        key = shard = None
+        for batch in batches:
+            place = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            cuts = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+                part = batch.slice(a, b - a)
+                if key != (here := tuple(place[:, a])):
+                    key, shard = here, None
+                if part.column(4)[0].is_valid:  # the blob comes before the lines of its shard
+                    shard, part = Shard.unpack(part.column(4)[0].as_py()), part.slice(1)
+                if shard is None or not part.num_rows:
+                    continue
+                ids = part.column(2).to_numpy()
+                count, first = shard.probe(part.column(3).to_numpy().view(K.U))
+                yield pa.record_batch([part.column(2), part.column(3)], names=["doc_id", "line"]).filter(pa.array((count >= min_docs) & (first != ids)))
 
     src = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    probes = map_arrow(src, emit, "doc_id long, line long, shard long").distinct()
-    hits = probes.groupBy("shard").cogroup(index.select("shard", "blob").groupBy("shard")).applyInArrow(lookup, "doc_id long, line long")
-    gone = materialize(hits.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone")), "gone")
-    joined = docs.join(gone, docs["doc_id"] == gone["__id"], "left").drop("__id")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, -(-2 * tasks // n))
+    probes = map_arrow(src, emit, "doc_id long, line long, shard long").select("shard", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"), "doc_id", "line", F.lit(None).cast("binary").alias("blob"))
+    blobs = index.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("line"), "blob")
+    routed = probes.union(blobs).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("blob").isNull())
+    hits = map_arrow(routed, lookup, "doc_id long, line long")
+    own, mine = fresh("__id", names), fresh("__gone", names)
+    gone = materialize(hits.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("line").alias(mine)), "gone")
+    joined = docs.join(gone, docs["doc_id"] == gone[own], "left").select(*(docs[c] for c in names), gone[mine])
 
     def apply(batches):
         for batch in batches:
@@ -300,3 +327,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shard_lines: int = 1_
                 yield edit(batch, i, j, buf, off, start, at, drop)
 
     return map_arrow(joined, apply, schema)
+
+
+def drop_repeated_lines(docs: DataFrame, **params) -> DataFrame:
+    """The columns of ``docs`` after ``dedup_lines``, without the documents that lose all their text.
+
+    Documents that had no text before, null or empty, stay, as do those with a
+    null doc_id, whose lines aren't touched; repeated rows and all else are as in
+    ``dedup_lines``.
+    """
+    out = dedup_lines(docs, **params)
+    return out.where((F.col("text").isNull()) | (F.col("text") != "") | (F.col(out.columns[-1]) == 0)).select(*docs.columns)

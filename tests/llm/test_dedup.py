@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from factloom.llm import _kernels as K
@@ -203,6 +204,50 @@ def test_dedup_lines_awkward(spark, limit):
     assert dedup_lines(empty(spark), max_broadcast=limit).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+def test_clashing_names_of_line_dedup_stay(spark, limit):
+    rows = [(d, "the same line", d, d + 1, d + 2, [d], "h") for d in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __n_lines long, __n_dropped long, __id long, __gone array<long>, line string")
+    out = dedup_lines(docs, max_broadcast=limit)
+    assert out.columns == [*docs.columns, "___n_lines", "___n_dropped"]
+    assert sorted(map(tuple, out.collect())) == [(d, "" if d else "the same line", *r[2:], 1, int(d > 0)) for d, r in enumerate(rows)]
+    kept = line_dedup.drop_repeated_lines(docs, max_broadcast=limit)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == rows[:1]
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 0])
+def test_a_line_in_every_document(spark, limit):
+    docs = [(d, f"in all of them\nown {d}\n  in all of them") for d in range(5000)]
+    got = {r.doc_id: r.text for r in dedup_lines(frame(spark, docs), shard_lines=1, max_broadcast=limit).collect()}
+    assert got == {d: f"own {d}" if d else docs[0][1] for d in range(5000)}
+
+
+def test_lines_take_time_in_proportion_to_blanks():
+    import time
+
+    def took(n):
+        buf, off = K.text_buffer(pa.array(["\n".join(["  short line\t"] * 50_000), " " * n + "x" + "\t " * n + "\n" + "\r" * n]))
+        began = time.perf_counter()
+        h, start, end, at = line_dedup.lines(buf, off)
+        spent = time.perf_counter() - began
+        assert at.tolist() == [0, 50_000, 50_001] and buf[start[-1]] == ord("x") and len(set(h.tolist())) == 2
+        return spent
+
+    took(1000)
+    assert took(400_000) < 1
+
+
+def test_lines_match_plain_python():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(" \t\r\nab") for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    buf, off = K.text_buffer(pa.array(texts))
+    _, start, _, at = line_dedup.lines(buf, off)
+    raw = buf.tobytes().decode()
+    for k, t in enumerate(texts):
+        want = [x.strip(" \t\r") for x in t.split("\n") if x.strip(" \t\r")]
+        assert [raw[s : s + len(w)] for s, w in zip(start[at[k] : at[k + 1]], want)] == want and at[k + 1] - at[k] == len(want)
+
+
 def test_shard_is_minimal_and_perfect():
     keys = np.unique(K.mix(np.arange(20_000, dtype=K.U)))
     shard = Shard.unpack(Shard(keys, np.arange(len(keys)) + 2, np.arange(len(keys)) * 7).pack())
