@@ -146,6 +146,9 @@ _ODD = mix(np.arange(1, 513, dtype=U)) | U(1)
 
 def windows(hashes: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of every window of ``n`` consecutive words of a row, in order."""
+    global _ODD
+    if n > len(_ODD):
+        _ODD = mix(np.arange(1, n + 1, dtype=U)) | U(1)
     total = len(hashes) - n + 1
     if total <= 0:
         return np.zeros(0, U), np.zeros(0, np.int64)

@@ -302,6 +302,54 @@ def test_passages_of_fifty_words_are_found(spark):
     assert len(got) >= 0.99 * 2 * n
 
 
+@pytest.mark.parametrize("period", [2, 3, 4, 6])
+def test_periodic_passages_are_found(period):
+    """60 words of a short period in two surroundings share a symbol to compare; symbols of 4 words alone missed up to 2.5 %."""
+    rng = np.random.default_rng(period)
+    missed = 0
+    for _ in range(1000):
+        one = K.mix(rng.integers(0, 10**6, period).astype(K.U))
+        passage = np.tile(one, 60)[:60]
+        seen = []
+        for _ in range(2):
+            a, b = (K.mix(rng.integers(0, 10**6, rng.integers(1, 40)).astype(K.U)) for _ in range(2))
+            words_ = np.concatenate([a, passage, b])
+            at = np.array([0, len(words_)])
+            name, start, row = substring_dedup.parse(words_, at, substring_dedup.ROUNDS)
+            k = substring_dedup.revealing(start, row, at, substring_dedup.LONGEST)
+            end = np.append(start[1:], len(words_))
+            seen.append(set(name[k[(start[k] >= len(a)) & (end[k] <= len(a) + 60)]].tolist()))
+        missed += not seen[0] & seen[1]
+    assert missed <= 1
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_a_passage_in_every_document(spark, limit):
+    rng = random.Random(10)
+    passage = prose(rng, 80, 10**6)
+    docs = [(d, f"{prose(rng, 20, 10**6)} {passage} {prose(rng, 20, 10**6)}") for d in range(2000)]
+    got = {tuple(r) for r in repeated_passages(frame(spark, docs), max_broadcast=limit).collect()}
+    assert got == brute_spans(docs, 50) and {d for d, _, _ in got} == set(range(2000))
+
+
+@pytest.mark.parametrize("n", [9, 25, 600])
+def test_windows_of_other_lengths(spark, n):
+    rng = random.Random(n)
+    docs = []
+    for k in range(60):
+        passage = prose(rng, n + 5, 10**6)
+        docs += [(2 * k + side, f"{prose(rng, 15, 10**6)} {passage} {prose(rng, 15, 10**6)}") for side in range(2)]
+    got = {tuple(r) for r in repeated_passages(frame(spark, docs), min_words=n).collect()}
+    assert got <= brute_spans(docs, n) and len({d for d, _, _ in got}) >= 0.9 * len(docs)
+
+
+def test_windows_met_in_one_task_need_no_partner():
+    rows = substring_dedup._verified([(np.array([5, 6, 5, 7, 7], K.U), np.array([1, 1, 2, 3, 3]), np.array([0, 4, 9, 1, 8]))])
+    got = sorted(zip(*(rows.column(k).to_pylist() for k in (1, 2, 3))))
+    assert got == [(1, -1, True), (1, 0, True), (1, 4, False), (2, 9, True), (3, 1, False), (3, 8, False)]
+    assert {w for w, f in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist()) if f in (-1, 4, 1, 8)} == {5, 6, 7}
+
+
 def test_repeated_passages_awkward(spark):
     got = {tuple(r) for r in repeated_passages(awkward(spark)).collect()}
     assert got == {(5, 0, 60_000), (6, 0, 60_000)}
