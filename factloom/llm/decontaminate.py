@@ -2,13 +2,19 @@
 
 A test item of a few dozen words inside a document of thousands has a tiny
 Jaccard similarity, so one signature length for all documents can't find it.
-Documents are therefore partitioned by the size of their shingle set (powers of
-two), and each class has its own one-permutation MinHash signature: the hash
-range is cut into ``bins`` by its top bits and each bin keeps its smallest
-shingle.  ``bins`` is the least power of two at which an item that reaches the
-containment threshold is missed with at most ``miss`` probability.  A document
-is a candidate for an item when a bin minimum is one of the item's shingles;
-every candidate is then verified by its exact shingle containment.
+Documents and items are therefore partitioned by the size of their shingle sets
+(powers of two), and each pair of classes has its own one-permutation MinHash
+signature: the hash range is cut into ``bins`` by its top bits and each bin keeps
+the document's smallest shingle.  All signatures of a document are read off one
+sorted pass: a shingle is the smallest of its bin unless the one before it has the
+same top bits.
+
+The minima that are shingles of an item estimate how much of it the document
+holds.  ``bins`` is the least power of two at which a document that holds
+``threshold`` of an item shows a quarter of that or more among its minima with
+chance 1 - ``miss``; pairs with fewer are pruned, the others are verified by their
+exact shingle containment.  Where items are too short for that, all shingles are
+looked up, and pruning is exact.
 
 The documents are scanned once, without a shuffle.  The item index is broadcast
 in blocks of at most ``max_index`` shingles: a larger benchmark is searched
@@ -30,71 +36,96 @@ from . import _kernels as K
 RESULT = "doc_id long, item_id long, shared int, item_shingles int"
 
 
-def bins_for(size: int, item: int, threshold: float, miss: float) -> int:
-    """Bins of the signature of a document of up to ``size`` shingles.
+def _fewer(n: int, p: float, k: int) -> float:
+    """The chance of fewer than ``k`` successes in ``n`` trials of chance ``p`` < 1."""
+    log = lambda m: math.lgamma(n + 1) - math.lgamma(m + 1) - math.lgamma(n - m + 1) + m * math.log(p) + (n - m) * math.log1p(-p)
+    return sum(math.exp(log(m)) for m in range(k))
+
+
+def sketch_for(size: int, item: int, threshold: float, miss: float) -> tuple[int, int]:
+    """(bins, least hits at which a pair is kept) for documents of up to ``size`` shingles and items of ``item`` or more.
 
     A shingle is its bin's minimum with p = (1 - exp(-x)) / x at x shingles a
     bin; an item shares at least threshold * item of them, each with chance p.
-    Where 64 bins a shingle are too few for that, each of the 48 bits' values is a
-    bin, so all shingles are looked up.
+    Where 64 bins a shingle are too few, each of the 48 bits' values is a bin, so
+    all shingles are looked up.
     """
     need = max(1, math.ceil(threshold * item - 1e-9))
     bins = 16
     while bins < 64 * max(size, 1):
         x = size / bins
-        p = (1 - math.exp(-x)) / x
-        if (1 - p) ** need <= miss:
-            return bins
+        if _fewer(need, (1 - math.exp(-x)) / x, -(-need // 4)) <= miss:
+            return bins, -(-need // 4)
         bins *= 2
-    return 1 << 48
+    return 1 << 48, need
+
+
+def bins_for(size: int, item: int, threshold: float, miss: float) -> int:
+    """Bins of the signature of a document of up to ``size`` shingles for items of ``item`` or more."""
+    return sketch_for(size, item, threshold, miss)[0]
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the range, value) for each value of the ranges [low, high)."""
+    size = high - low
+    which = np.repeat(np.arange(len(low)), size)
+    return which, low[which] + np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
 
 
 class Index:
-    """The shingles of a block of items, as sorted arrays."""
+    """The shingles of a block of items, as sorted arrays; ``verified`` counts the documents that were verified exactly."""
 
     def __init__(self, shingle: np.ndarray, item: np.ndarray, n: int, threshold: float, miss: float):
         order = np.argsort(shingle, kind="stable")
         self.shingle, self.item = shingle[order], item[order]
-        ids, sizes = np.unique(item, return_counts=True)
-        self.ids, self.sizes = ids, sizes
-        self.n, self.threshold, self.miss = n, threshold, miss
-        self.least = int(sizes.min()) if len(sizes) else 1
-        self.low = np.unique(self.shingle >> K.U(16))
+        self.ids, sizes = np.unique(item, return_counts=True)
+        self.sizes = sizes
+        self.n, self.threshold, self.verified = n, threshold, 0
         self.bitmap = np.zeros(1 << 22, bool)
-        self.bitmap[(self.low & K.U((1 << 22) - 1)).astype(np.int64)] = True
-        self.log_bins = np.array([int(math.log2(bins_for(1 << c, self.least, threshold, miss))) for c in range(48)])
-
-    def items_of(self, hashes: np.ndarray) -> np.ndarray:
-        """The item of each (hash, item) match of distinct hashes."""
-        a, b = np.searchsorted(self.shingle, hashes, "left"), np.searchsorted(self.shingle, hashes, "right")
-        hit = np.flatnonzero(b > a)
-        return np.concatenate([self.item[a[k] : b[k]] for k in hit]) if len(hit) else np.zeros(0, np.int64)
+        self.bitmap[self._bits(self.shingle >> K.U(16))] = True
+        # items by the size of their shingle set: their shingles, and for each class of documents bits of a bin and least hits
+        kind = np.log2(np.maximum(sizes, 1)).astype(np.int64)[np.searchsorted(self.ids, self.item)] if len(item) else np.zeros(0, np.int64)
+        self.classes = []
+        for k in np.unique(kind):
+            mine = kind == k
+            sketches = [sketch_for(1 << c, 1 << int(k), threshold, miss) for c in range(48)]
+            self.classes.append((self.shingle[mine] >> K.U(16), self.item[mine], np.array([int(math.log2(b)) for b, _ in sketches]), np.array([m for _, m in sketches])))
+
+    @staticmethod
+    def _bits(low: np.ndarray) -> np.ndarray:
+        return (low & K.U((1 << 22) - 1)).astype(np.int64)
 
     def search(self, h: np.ndarray, row: np.ndarray, n_rows: int) -> list[tuple[int, int, int, int]]:
         """(row, item, shared, item's shingles) of the contained items."""
         key = np.sort((row.astype(K.U) << K.U(48)) | (h >> K.U(16)))
-        if len(key):
-            key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-        r = (key >> K.U(48)).astype(np.int64)
-        size = np.bincount(r, minlength=n_rows)
+        if not len(key) or not len(self.item):
+            return []
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        size = np.bincount((key >> K.U(48)).astype(np.int64), minlength=n_rows)
         kind = np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
-        bin_ = (key & K.U((1 << 48) - 1)) >> (48 - np.minimum(self.log_bins[kind], 48)).astype(K.U)[r]
-        first = np.concatenate([[True], (r[1:] != r[:-1]) | (bin_[1:] != bin_[:-1])]) if len(key) else np.zeros(0, bool)
-        low = key[first] & K.U((1 << 48) - 1)
-        maybe = self.bitmap[(low & K.U((1 << 22) - 1)).astype(np.int64)]
-        low, rows = low[maybe], r[first][maybe]
-        at = np.searchsorted(self.low, low)
-        hit = at < len(self.low)
-        hit[hit] = self.low[at[hit]] == low[hit]
-        out = []
+        at = np.flatnonzero(self.bitmap[self._bits(key)])
+        rows, low = (key[at] >> K.U(48)).astype(np.int64), key[at] & K.U((1 << 48) - 1)
+        # how a shingle differs from the one before it in its row, from the top
+        differs = np.where(at > 0, key[at] ^ key[at - 1], K.U(2**64 - 1))
+        wanted = np.zeros(n_rows, bool)
+        for shingle, item, bits, least in self.classes:
+            least_of = (differs >> (K.U(48) - bits[kind[rows]].astype(K.U))) != 0
+            a, b = np.searchsorted(shingle, low[least_of], "left"), np.searchsorted(shingle, low[least_of], "right")
+            which, place = _spread(a, b)
+            if len(which):
+                pair = np.stack([rows[least_of][which], item[place]])
+                pair, hits = np.unique(pair, axis=1, return_counts=True)
+                wanted[pair[0][hits >= least[kind[pair[0]]]]] = True
+        self.verified += int(wanted.sum())
         starts = K.row_starts(row, n_rows)
-        for k in np.unique(rows[hit]):
+        out = []
+        for k in np.flatnonzero(wanted):
             mine = np.unique(h[starts[k] : starts[k + 1]])
-            items, shared = np.unique(self.items_of(mine), return_counts=True)
+            _, place = _spread(np.searchsorted(self.shingle, mine, "left"), np.searchsorted(self.shingle, mine, "right"))
+            items, shared = np.unique(self.item[place], return_counts=True)
             total = self.sizes[np.searchsorted(self.ids, items)]
-            for i, s, t in zip(items, shared, total):
-                if s >= math.ceil(self.threshold * t - 1e-9):
-                    out.append((int(k), int(i), int(s), int(t)))
+            enough = shared >= np.ceil(self.threshold * total - 1e-9)
+            out += [(int(k), int(i), int(s), int(t)) for i, s, t in zip(items[enough], shared[enough], total[enough])]
         return out
 
 
@@ -156,7 +187,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **params) -> DataFr
     """The documents that hold no test item, all columns kept.
 
     The flagged ids are written first, so the anti-join sees their true size;
-    a document with a null doc_id is never dropped.
+    a document with a null doc_id is never dropped.  Of rows that share a doc_id
+    all go if one holds an item.  Null and empty texts stay; an empty table stays
+    empty; an empty benchmark drops nothing.
     """
     bad = materialize(contaminated(docs, benchmark, **params).select(F.col("doc_id").alias("__bad_id")).where("__bad_id is not null").distinct(), "contaminated")
     return docs.join(bad, docs["doc_id"] == bad["__bad_id"], "left_anti")

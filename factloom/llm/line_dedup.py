@@ -122,15 +122,28 @@ def lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """(hash, start, end, line offsets by row) of the lines that aren't blank, without outer spaces."""
     start, end, at = K.runs(buf, offsets, K.NOT_NEWLINE)
     full_end = end.copy()
-    # blanks at either end are skipped by whole runs of them
-    first, last, _ = K.runs(buf, offsets, ~K.NOT_SPACE)
-    if len(first) and len(start):
-        k = np.maximum(np.searchsorted(first, start, "right") - 1, 0)
-        inside = (first[k] <= start) & (start < last[k])
-        start = np.where(inside, np.minimum(last[k], end), start)
-        k = np.maximum(np.searchsorted(first, end, "left") - 1, 0)
-        inside = (first[k] < end) & (end <= last[k])
-        end = np.where(inside, np.maximum(first[k], start), end)
+    space = ~K.NOT_SPACE
+    # a few blanks at either end are skipped one by one, more of them by whole runs
+    before, after = np.arange(len(start)), np.arange(len(start))
+    for _ in range(8):
+        before = before[(start < end)[before]]
+        before = before[space[buf[start[before]]]]
+        start[before] += 1
+        after = after[(start < end)[after]]
+        after = after[space[buf[end[after] - 1]]]
+        end[after] -= 1
+        if not len(before) and not len(after):
+            break
+    else:
+        first, last, _ = K.runs(buf, offsets, space)
+        if len(first) and len(before):
+            k = np.maximum(np.searchsorted(first, start[before], "right") - 1, 0)
+            inside = (first[k] <= start[before]) & (start[before] < last[k])
+            start[before] = np.where(inside, np.minimum(last[k], end[before]), start[before])
+        if len(first) and len(after):
+            k = np.maximum(np.searchsorted(first, end[after], "left") - 1, 0)
+            inside = (first[k] < end[after]) & (end[after] <= last[k])
+            end[after] = np.where(inside, np.maximum(first[k], start[after]), end[after])
     keep = start < end
     before = np.concatenate([[0], np.cumsum(keep)])
     start, end, full_end = start[keep], end[keep], full_end[keep]

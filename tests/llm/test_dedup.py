@@ -78,6 +78,34 @@ def test_items_of_one_shingle_are_never_missed():
         assert rows == [(r, k + r, 1, 1) for r in range(100)]
 
 
+@pytest.mark.parametrize("size", [1, 4, 9, 12, 40, 300])
+def test_items_of_each_size_in_long_documents(size):
+    """Of 400 documents of 20,000 shingles none that holds 0.6 of an item is missed, and few others are verified."""
+    rng = np.random.default_rng(size)
+    items = rng.integers(0, 2**64, (400, size), K.U)
+    # an item of another size class must not change how these are searched
+    other = rng.integers(0, 2**64, 700, K.U)
+    index = Index(np.append(items.reshape(-1), other), np.append(np.repeat(np.arange(400), size), np.full(700, 999)), 5, 0.6, 1e-4)
+    need = int(np.ceil(0.6 * size - 1e-9))
+    for k in range(400):
+        h = np.append(rng.integers(0, 2**64, 20_000, K.U), items[k, :need])
+        rng.shuffle(h)
+        assert index.search(h, np.zeros(len(h), np.int64), 1) == [(0, k, need, size)]
+    assert index.verified == 400
+    few = max(1, need // 8)
+    for k in range(100 if need > 8 else 0):
+        index.search(np.append(rng.integers(0, 2**64, 20_000, K.U), items[k, :few]), np.zeros(20_000 + few, np.int64), 1)
+    assert index.verified <= 410
+
+
+def test_short_items_in_long_documents_match_brute_force(spark):
+    rng = random.Random(14)
+    items = [(k, prose(rng, 5 + k % 5, 10**6)) for k in range(40)] + [(100, prose(rng, 600, 10**6))]
+    docs = [(k, f"{prose(rng, 6000, 10**6)} {items[k][1] if k < 40 else ''} {prose(rng, 3000, 10**6)}") for k in range(50)]
+    got = {(r.doc_id, r.item_id, r.shared) for r in contaminated(frame(spark, docs), frame(spark, items, "item_id")).collect()}
+    assert got == {(k, k, 1 + k % 5) for k in range(40)}
+
+
 def test_contaminated_awkward(spark):
     item = spark.createDataFrame([(1, "no id at all here"), (None, "one"), (2, None), (3, "one")], "item_id long, text string")
     assert [tuple(r) for r in contaminated(awkward(spark), item).collect()] == [(None, 1, 1, 1)]
@@ -132,6 +160,52 @@ def test_near_duplicates_large_group_and_second_round(spark):
     assert got == {d: 1000 for d, _ in docs if d >= 1000}
 
 
+@pytest.mark.parametrize("block", [near_dup.BLOCK, 3])
+@pytest.mark.parametrize("ids", [2_000_000, 0])
+def test_fallbacks_and_blocks_give_the_same_groups(spark, corpus, block, ids):
+    docs, _ = corpus
+    want = sorted(map(tuple, near_duplicates(frame(spark, docs)).collect()))
+    assert sorted(map(tuple, near_duplicates(frame(spark, docs), broadcast_ids=ids, block=block).collect())) == want and want
+
+
+@pytest.mark.parametrize("block", [1000, 16])
+def test_one_bucket_of_unlike_documents(spark, block):
+    """All share a bucket with the least document, to which none is similar; every pair of the others is still compared."""
+    hashes, rng = 192, np.random.default_rng(5)
+    keep = least_matches(hashes, 32, 0.5, 0.005)
+    sig = rng.integers(0, 2**16, (120, hashes)).astype(np.uint16)
+    sig[70] = sig[20]
+    sig[99, :180] = sig[41, :180]
+    table = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sig)], "doc_id long, sig binary")
+    rows = spark.createDataFrame([(key, 120, k, k) for key in (7, 8) for k in range(120)], "key long, n long, doc_id long, label long")
+    got = {tuple(r) for r in near_dup.bucket_pairs(rows, table, hashes, keep, block).collect()}
+    assert got == {(20, 70), (41, 99)}
+
+
+def test_whole_groups_of_sorted_batches():
+    rng = random.Random(1)
+    for _ in range(200):
+        keys = sorted(rng.randint(0, 5) for _ in range(rng.randint(0, 30)))
+        batches, k = [], 0
+        while k < len(keys):
+            m = rng.randint(0, 7)
+            batches.append(pa.record_batch([pa.array(keys[k : k + m], pa.int64()), pa.array(range(k, min(k + m, len(keys))), pa.int64())], names=["a", "b"]))
+            k += m
+        out = list(near_dup._whole_groups(batches, 1))
+        assert [x for t in out for x in t.column(1).to_pylist()] == list(range(len(keys)))
+        seen = [set(t.column(0).to_pylist()) for t in out]
+        assert sum(map(len, seen)) == len(set(keys))
+
+
+def test_rows_that_share_an_id_count_by_their_least_text(spark):
+    one, two = "the first text has these words in it", "another text that has nothing to do with it"
+    docs = [(1, two), (1, one), (1, None), (2, one), (3, two), (3, two), (4, two)]
+    for part in (1, 3):
+        got = {tuple(r) for r in near_duplicates(frame(spark, docs).repartition(part)).collect()}
+        assert got == {(1, 1), (3, 1), (4, 1)}
+        assert sorted(r.doc_id for r in drop_near_duplicates(frame(spark, docs)).collect()) == [1, 1, 1, 2]
+
+
 def test_least_matches_is_the_posterior():
     rng = np.random.default_rng(0)
     s = rng.random(400_000)
