@@ -48,6 +48,11 @@ cion mente ado ido oso ero ista dad aje que gui rre lla ñe ia ie ue ui
 schaft keit heit ung lich isch bar sam ver zer ent ge be auf aus ein vor nach tz pf sch ch st""".split()
 
 
+_SHORT = """abc api app asm avx aws bin bit bz cdn cfg cjk cls cmd cpp cpu crc css csv ctx dbg dev dir dll dns doc dtd err etc exe ext ffi fmt fs ftp
+gcc git gnu gpu gz html http ios ip iso jis jpg js json lib lin log lzma md mod mp net ns obj opt os pdf php png posix proc pty py python rb rpc
+rsa sh sha sql src ssl str sub sys tar tcp tls tmp txt udp ui uri url usb utf uuid var vm win xhtml xml xz yml zip zlib""".split()
+
+
 def labelled_samples(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
     """Strings with label 1 for random secrets and 0 for ordinary identifiers, ``n`` of each."""
     rng = random.Random(seed)
@@ -62,9 +67,12 @@ def labelled_samples(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
             out.append((base64.b64encode(rng.randbytes(length)).decode().rstrip("="), 1))
         else:
             out.append((base64.urlsafe_b64encode(rng.randbytes(length)).decode().rstrip("="), 1))
+    digits = lambda low, high: "".join(str(rng.randint(0, 9)) for _ in range(rng.randint(low, high)))
+    # short names with digits, as of encodings, machines and versions
+    mixed = lambda: rng.choice((f"{rng.choice(_SHORT)}{digits(1, 3)}", f"{rng.choice(_SHORT)}{digits(1, 2)}{rng.choice(_SHORT)}", digits(1, 3), rng.choice(_SHORT), rng.choice(_WORDS)))
     for k in range(n):
         words = [rng.choice(_WORDS) for _ in range(rng.randint(2, 7))]
-        style = k % 11
+        style = k % 17
         if style == 0:
             text = "_".join(words)
         elif style == 1:
@@ -78,9 +86,23 @@ def labelled_samples(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
         elif style == 5:
             text = "_".join(words) + str(rng.randint(0, 2030))
         elif style == 6:
-            text = "".join(str(rng.randint(0, 9)) for _ in range(rng.randint(10, 24)))  # numbers and times
+            text = digits(10, 24)  # numbers and times
         elif style == 9:
             text = rng.choice(CHARS.decode()) * rng.randint(3, 30)  # rulers and blanks
+        elif style == 10:
+            text = "/" + "/".join(mixed() for _ in range(rng.randint(3, 7)))
+        elif style in (11, 12):
+            text = rng.choice("_-").join(mixed() for _ in range(rng.randint(3, 6)))
+            text = text.upper() if style == 12 else text
+        elif style == 13:
+            text = rng.choice("_-+/").join(digits(1, 6) for _ in range(rng.randint(3, 6))) + rng.choice(("", f"e{rng.choice('+-')}{digits(1, 2)}"))
+        elif style == 14:
+            run = rng.choice((CHARS[:26], CHARS[26:52], CHARS[52:62], CHARS[52:62] + CHARS[:26], CHARS[52:62] + CHARS[26:52])).decode()
+            text = run[rng.randint(0, len(run) // 2) :]  # letters in their order
+        elif style == 15:
+            text = rng.choice("_-/").join(w if rng.random() < 0.5 else rng.choice(_SHORT) for w in words)
+        elif style == 16:
+            text = "".join(rng.choice((w.title(), rng.choice(_SHORT).upper())) for w in words)
         else:
             text = "".join(words)
             text = {7: text.title(), 8: text.upper()}.get(style, text)
@@ -172,9 +194,27 @@ def stretches(ratio: np.ndarray, base: np.ndarray, min_length: int, threshold: f
     return s[order], e[order]
 
 
-def find_secrets(docs: DataFrame, samples: list[tuple[str, int]] | None = None, min_length: int = 16, threshold: float = 12.0) -> DataFrame:
+def samples_of(labelled: DataFrame, max_samples: int = 200_000) -> list[tuple[str, int]]:
+    """The rows (text, label) of a table of labelled strings, 1 for secrets and 0 for ordinary ones.
+
+    Of more than ``max_samples`` rows a sample by hash is taken.  Rows with a null
+    are left out, repeated rows count as often as they occur.
+    """
+    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("label").cast("int").alias("label")).where("text is not null and label is not null")
+    share = max_samples / max(rows.count(), 1)
+    if share < 1:
+        rows = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < round(share * 1_000_000))
+    return sorted((r.text, r.label) for r in rows.toLocalIterator())
+
+
+def find_secrets(docs: DataFrame, samples: list[tuple[str, int]] | DataFrame | None = None, min_length: int = 16, threshold: float = 12.0) -> DataFrame:
     """(doc_id, start, length, preview, score): every token, or stretch of one, that scores as a secret.
 
+    The models are trained from ``samples``, pairs of a string and its label or a
+    table of them (``samples_of``); without any, from ``labelled_samples``.  A score
+    that only equals the threshold is no secret; of stretches of equal score the
+    one that ends first is taken, and it starts as early as that score allows.
+
     start and length count characters; preview is the first four characters, so
     the result doesn't spread the secret; score is rounded to 4 places.  Null and
     empty texts have none; rows with a null doc_id are reported under it; every
@@ -182,6 +222,8 @@ def find_secrets(docs: DataFrame, samples: list[tuple[str, int]] | None = None,
     any length are scored whole; other columns are ignored; an empty table gives
     an empty result.
     """
+    if isinstance(samples, DataFrame):
+        samples = samples_of(samples)
     table = train(samples if samples is not None else labelled_samples())
     sent = docs.sparkSession.sparkContext.broadcast(table.astype(np.float64))
 
