@@ -3,8 +3,10 @@
 Each document is tested by the rules; a host's failures are then counted over
 all its documents, in Spark, and its failure rate is shrunk towards the rates of
 all hosts: with a beta prior fitted to them by moments, a host with few
-documents stays near the mean and one with many near its own rate.  The verdicts
-are joined back to the documents.
+documents stays near the mean and one with many near its own rate.  A host is bad
+if its rate exceeds twice the prior's mean, or ``max_rate`` if that is less, with
+a posterior chance of 0.95.  The verdicts are joined back to the documents, so good
+documents of bad hosts go too.
 
 One scan evaluates the rules inside code generation.  The flags, a few bytes a
 document, are written to the shared folder; counting and joining read them
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 
 from ..sources.workspace import materialize
 
-MAX_RATE = 0.5
+#: A host's rate is too high above MAX_RATE, or above TIMES the prior's mean, if the posterior is SURE standard deviations beyond it.
+MAX_RATE, TIMES, SURE = 0.5, 2.0, 1.645
+_URL = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 def rule_flags(text: Column) -> dict[str, Column]:
@@ -46,7 +50,10 @@ def flag_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, host, failed): failed has bit k set where rule k fails."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     failed = sum((F.when(f, 1 << k).otherwise(0) for k, f in enumerate(rule_flags(text).values())), F.lit(0))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), failed.cast("int").alias("failed"))
+    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    url = F.regexp_extract(source, _URL, 1)
+    host = F.when(url != "", F.lower(url)).otherwise(source)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), failed.cast("int").alias("failed"))
 
 
 def host_verdicts(flags: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
@@ -56,6 +63,9 @@ def host_verdicts(flags: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     rates, and w the mean sampling variance m (1 - m) / n that v holds by chance,
     the prior is Beta(m s, (1 - m) s), s = m (1 - m) / max(v - w, 1e-6) - 1, kept
     within 1 to 10,000.  A single host, or equal rates, give the strongest prior.
+    host_ok is false if the posterior mean less ``SURE`` posterior standard
+    deviations is above ``max_rate`` or above ``TIMES`` m, whichever is less; a
+    rate that just reaches it is good enough.
     """
     hosts = flags.groupBy("host").agg(F.count("*").alias("host_docs"), F.sum((F.col("failed") > 0).cast("long")).alias("host_failures"))
     hosts = materialize(hosts, "hosts")
@@ -66,13 +76,15 @@ def host_verdicts(flags: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     prior = m.select("m", strength.alias("s"))
     # the prior is a single row
     shrunk = (F.col("host_failures") + F.col("m") * F.col("s")) / (F.col("host_docs") + F.col("s"))
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "host_docs", "host_failures", F.round(shrunk, 6).alias("host_rate"), (shrunk <= max_rate).alias("host_ok"))
+    surely = shrunk - SURE * F.sqrt(shrunk * (1 - shrunk) / (F.col("host_docs") + F.col("s") + 1))
+    return hosts.crossJoin(F.broadcast(prior)).select("host", "host_docs", "host_failures", F.round(shrunk, 6).alias("host_rate"), (surely <= F.least(F.lit(max_rate), TIMES * F.col("m"))).alias("host_ok"))
 
 
 def judge_documents(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     """(doc_id, host, failed, host_docs, host_failures, host_rate, host_ok), a row for each document row.
 
-    The host is the column ``source``; null and empty ones are one host, ''.
+    The host is that of the URL in the column ``source``, lower-cased, or the whole
+    value where that is no URL; null and empty ones are one host, ''.
     Null texts count as empty and fail no_words.  Rows count as often as they
     occur, also with a null or repeated doc_id.  Texts of any length are tested
     whole; other columns are ignored; an empty table gives an empty result.
@@ -82,5 +94,9 @@ def judge_documents(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
 
 
 def keep_by_rules(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """The rows of ``judge_documents`` that stay: of hosts that are good enough, and failing no rule themselves."""
+    """The rows of ``judge_documents`` that stay: of hosts that are good enough, and failing no rule themselves.
+
+    Null, empty, repeated and very long rows are judged as in ``judge_documents``;
+    null and empty texts fail a rule and go; an empty table stays empty.
+    """
     return judge_documents(docs, max_rate).where("host_ok and failed = 0").drop("host_ok")

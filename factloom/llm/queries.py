@@ -108,7 +108,7 @@ def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS size,
+WITH d AS (SELECT doc_id, coalesce(lower(nullif(regexp_extract(coalesce(source, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '')), source, '') AS host, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS size,
                   len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+')) AS words FROM documents),
 c AS (SELECT *, strlen(regexp_replace(t, '[ -@\[-`{-~\t\n\r]+', '', 'g')) AS letters,
              size - strlen(regexp_replace(t, '[A-Z]+', '', 'g')) AS capitals,
@@ -121,9 +121,9 @@ f AS (SELECT doc_id, host, CASE WHEN words < 1 THEN 1 ELSE 0 END + CASE WHEN wor
 h AS (SELECT host, count(*) AS n, count(*) FILTER (failed > 0) AS k FROM f GROUP BY host),
 m AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v, avg(1.0::DOUBLE / n) AS u FROM h),
 s AS (SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * u, 1e-6) - 1, 1.0), 10000.0) AS s FROM m),
-r AS (SELECT host, n, k, (k + m * s) / (n + s) AS rate FROM h, s)
+r AS (SELECT host, n, k, m, (k + m * s) / (n + s) AS rate, n + s + 1 AS size FROM h, s)
 SELECT doc_id, host, failed::INTEGER AS failed, n AS host_docs, k AS host_failures, round(rate, 6) AS host_rate
-FROM f JOIN r USING (host) WHERE rate <= 0.5 AND failed = 0
+FROM f JOIN r USING (host) WHERE rate - 1.645 * sqrt(rate * (1 - rate) / size) <= least(0.5, 2 * m) AND failed = 0
 """
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
