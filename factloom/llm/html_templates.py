@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +39,65 @@ _SCOPE = frozenset("html body div article section main nav aside header footer u
 _ROOT = frozenset(("", "html", "head", "body"))
 
 
+_NAME = re.compile(r"</?[a-zA-Z][a-zA-Z0-9:-]*+")
+_RAW = re.compile(r"<(?:script|style|noscript|template)\b", re.I)
+_TO_END = re.compile(r"<!--|<(?:script|style|noscript|template)\b", re.I)
+_SPECIAL = re.compile(r"[\"'>]")
+
+
+def _closings(source: str, at: int) -> tuple[list[int], list[int]]:
+    """(places of quotes and '>' from ``at`` on, for each the '>' that ends a tag which is unquoted before it, or -1)."""
+    places = [m.start() for m in _SPECIAL.finditer(source, at)]
+    close = [-1] * (len(places) + 1)
+    after: dict[str, int] = {}
+    for k in range(len(places) - 1, -1, -1):
+        mark = source[places[k]]
+        if mark == ">":
+            close[k] = places[k]
+        else:
+            close[k] = close[after[mark] + 1] if mark in after else -1
+            after[mark] = k
+    return places, close
+
+
+def tokens(source: str):
+    """Matches of comments, raw elements, declarations and tags, in order; None and a start for one that the text ends in.
+
+    A tag that never ends is text.  Once one has been met, where tags end is worked
+    out for the whole rest at once, so that the time stays in proportion to the length.
+    """
+    last, closings = source.rfind(">"), None
+    at = source.find("<")
+    while at >= 0:
+        if at > last:
+            m = _TO_END.search(source, at)
+            if m:
+                yield None, m.start()
+            return
+        m = None
+        name = _NAME.match(source, at) if closings else None
+        if name is None or _RAW.match(source, at) or closings[1][bisect_left(closings[0], name.end())] >= 0:
+            m = _TOKEN.match(source, at)
+            if m is None and closings is None and _NAME.match(source, at):
+                closings = _closings(source, at)
+        if m:
+            yield m, at
+        at = source.find("<", m.end() if m else at + 1)
+
+
 class Page:
     """Elements of one page: ``tags``, ``parts`` (texts and element numbers) and subtree ``hashes`` by number; 0 is the root."""
 
     def __init__(self, source: str):
         self.tags, self.parts, self.hashes = [""], [[]], [0]
+        self._open: dict[str, list[int]] = {}  # the depths of the open elements of each tag
+        self._scopes = [0]
         stack, at = [0], 0
-        for m in _TOKEN.finditer(source):
-            if m.start() > at:
-                self._text(stack, source[at : m.start()])
-            at = m.end()
-            name = m.group(3)
+        for m, start in tokens(source):
+            if start > at:
+                self._text(stack, source[at:start])
+            at = m.end() if m else len(source)
+            name = m and m.group(3)
             if name is None:
                 continue
             tag = name.lower()
@@ -72,31 +121,34 @@ class Page:
         if ends is None and tag in _ENDS_P:
             ends = _CLOSES["p"]
         if ends:
-            for depth in range(len(stack) - 1, 0, -1):
-                open_ = self.tags[stack[depth]]
-                if open_ in ends:
-                    while len(stack) > depth:
-                        self._close(stack)
-                    break
-                if open_ in _SCOPE:
-                    break
+            depth = max((self._open[t][-1] for t in ends if self._open.get(t)), default=0)
+            if depth and depth >= self._scopes[-1]:
+                while len(stack) > depth:
+                    self._close(stack)
         number = len(self.tags)
         self.tags.append(tag)
         self.parts.append([])
         self.hashes.append(0)
         self.parts[stack[-1]].append(number)
         if tag not in _VOID and not closed:
+            self._open.setdefault(tag, []).append(len(stack))
+            if tag in _SCOPE:
+                self._scopes.append(len(stack))
             stack.append(number)
 
     def _end(self, stack, tag):
-        for depth in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[depth]] == tag:
-                while len(stack) > depth:
-                    self._close(stack)
-                return
+        depths = self._open.get(tag)
+        if depths:
+            depth = depths[-1]
+            while len(stack) > depth:
+                self._close(stack)
 
     def _close(self, stack):
         number = stack.pop()
+        if stack:
+            self._open[self.tags[number]].pop()
+            if self._scopes[-1] == len(stack):
+                self._scopes.pop()
         parts = self.parts[number]
         if any(isinstance(p, str) or self.hashes[p] for p in parts):
             content = "\x1f".join(p.strip() if isinstance(p, str) else f"\x1e{self.hashes[p]:x}" for p in parts)
@@ -156,7 +208,8 @@ def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     styles, comments and inline elements' recurrence don't count.  Null and empty
     sources give an empty text.  A null or unreadable URL has the host '', which
     is treated like a host; a null or repeated page_id is passed on, and repeated
-    rows count as pages.  Broken markup is read leniently, whole, at any length and depth.
+    rows count as pages.  Broken markup is read leniently, whole, at any length and
+    depth, in time that is in proportion to the length.
     Other columns are ignored; an empty table gives an empty result.
     """
     spark = pages.sparkSession
