@@ -5,8 +5,10 @@ segmentation under a unigram model is the one of greatest total score; the best
 score of a prefix depends on the prefix alone, so all words that begin alike
 share it.  Each task inserts its distinct pre-tokens in a trie and computes the
 forward score of every node once, level by level for all nodes of a depth
-together; the nodes where words end store the token count.  Documents then add
-up the counts of their words, and no word travels: there is no shuffle.
+together; the nodes where words end store the token count.  What a word has
+beyond ``_DEEP`` bytes it hardly shares with another: it goes on from the stored
+scores on its own.  Documents then add up the counts of their words, and no word
+travels: there is no shuffle.
 
 A task keeps the counts of words it has seen (up to ``remember`` of them, then
 it starts anew), so only new words enter a trie.
@@ -30,7 +32,8 @@ from . import _kernels as K
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = -30.0
 _MARK = "▁".encode()
-_LONG = 256
+#: Bytes of a word that enter the trie.
+_DEEP = 256
 
 
 def read_pieces(path: str) -> dict[bytes, float]:
@@ -43,11 +46,16 @@ def read_pieces(path: str) -> dict[bytes, float]:
     return {model.id_to_piece(i).encode(): float(-np.log(r + 10) - norm) for r, i in enumerate(ids)}
 
 
-def segment(word: bytes, pieces: dict[bytes, float], longest: int) -> tuple[float, int]:
-    """(score, tokens) of the best segmentation of one pre-token; ties go to fewer tokens."""
+def segment(word: bytes, pieces: dict[bytes, float], longest: int, known: list[tuple[float, int]] | None = None) -> tuple[float, int]:
+    """(score, tokens) of the best segmentation of one pre-token; ties go to fewer tokens.
+
+    ``known`` has (score, -tokens) of its first prefixes, that of no byte first.
+    """
     n = len(word)
-    best: list[tuple[float, int]] = [(0.0, 0)] + [(-np.inf, 0)] * n
-    for d in range(1, n + 1):
+    best = known or [(0.0, 0)]
+    done = len(best)
+    best = best + [(-np.inf, 0)] * (n + 1 - done)
+    for d in range(done, n + 1):
         if d < n and word[d] & 0xC0 == 0x80:
             continue
         found = (-np.inf, 0)
@@ -91,13 +99,14 @@ class Vocabulary:
     def counts(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The token count of each distinct word [start, end), through one trie."""
         out = np.zeros(len(start), np.int32)
-        size = end - start
-        for k in np.flatnonzero(size > _LONG):
-            out[k] = segment(_MARK + buf[start[k] : end[k]].tobytes(), self.pieces, self.longest)[1]
-        short = np.flatnonzero(size <= _LONG)
-        short = short[np.argsort(-size[short], kind="stable")]
-        if not len(short):
+        if not len(start):
             return out
+        # the part in the trie ends where a character ends
+        size = np.minimum(end - start, _DEEP)
+        for _ in range(3):
+            inside = np.flatnonzero(start + size < end)
+            size[inside] -= (buf[(start + size)[inside]] & 0xC0) == 0x80
+        short = np.argsort(-size, kind="stable")
         m = len(_MARK)
         length = size[short] + m
         base = np.concatenate([[0], np.cumsum(length)])
@@ -146,6 +155,10 @@ class Vocabulary:
             count.append(tokens)
             ends = np.flatnonzero(length[:alive] == d)
             out[short[ends]] = tokens[mine[ends]]
+        for k in np.flatnonzero(start[short] + size[short] < end[short]):
+            known = [(float(score[d][node[d][k]]), -int(count[d][node[d][k]])) for d in range(length[k] + 1)]
+            w = short[k]
+            out[w] = segment(_MARK + buf[start[w] : end[w]].tobytes(), self.pieces, self.longest, known)[1]
         return out
 
 
@@ -154,8 +167,9 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, remember: int =
 
     Words are runs of characters other than blank, tab, line feed and carriage
     return.  Null and empty texts have 0 words and 0 tokens; a null or repeated
-    doc_id is passed on; texts and words of any length are counted whole; other
-    columns are ignored; an empty table gives an empty result.
+    doc_id is passed on; texts and words of any length are counted whole; of
+    segmentations of equal score the one of fewest tokens counts; other columns
+    are ignored; an empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary(read_pieces(vocabulary)))
 
