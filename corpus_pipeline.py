@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm.decontaminate import drop_contaminated
-from factloom.llm.line_dedup import dedup_lines
+from factloom.llm.line_dedup import drop_repeated_lines
 from factloom.llm.near_dup import drop_near_duplicates
 from factloom.llm.packing import pack_documents
 from factloom.llm.pu_quality import keep_good
@@ -19,27 +19,50 @@ from factloom.sources.workspace import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Rows are judged one by one by their text: null and empty texts as texts without
+    words, repeated rows alike, any doc_id, null included; long texts are read
+    whole.  Columns stay as they are.  Without positives or documents all stay.
+    """
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of many documents stay in one of them; a document that loses all its text goes."""
-    return dedup_lines(docs).where("text is null or text <> '' or __n_dropped = 0").drop("__n_lines", "__n_dropped")
+    """Lines of many documents stay in the one of least doc_id; a document that loses all its text goes.
+
+    Null and empty texts stay, rows with a null doc_id aren't touched, rows that
+    repeat a doc_id keep or lose lines alike.  Columns stay, whatever their names;
+    n_chars follows the text.  An empty table stays empty.
+    """
+    return drop_repeated_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, that of least doc_id.
+
+    Texts without words (null, empty) and rows with a null doc_id are in no group
+    and stay; rows that share a doc_id stay or go together.  Columns stay as they
+    are.  An empty table stays empty.
+    """
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
+    """Documents that hold a test item go.
+
+    Null and empty texts hold none; rows with a null doc_id stay; rows that share
+    a doc_id go together.  Columns stay as they are.  An empty table stays empty.
+    """
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every remaining token gets its place in a bin."""
+    """Every remaining token gets its place in a bin: the columns of ``pack_documents``.
+
+    Null and empty texts have no tokens and no row; null and repeated doc_ids are
+    packed as they are.  An empty table gives an empty result.
+    """
     return pack_documents(docs)
 
 

@@ -77,6 +77,16 @@ def test_entry_without_llm(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
 
 
+@pytest.mark.parametrize("llm", [True, False])
+def test_entry_with_the_pipeline_alone_or_without_a_dependency(tmp_path, llm):
+    """The pipeline's file without the subpackage, and the subpackage without a module that it needs."""
+    shutil.copytree(ROOT / "factloom", tmp_path / "factloom", ignore=shutil.ignore_patterns("__pycache__", *([] if llm else ["llm"])))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(ROOT / name, tmp_path)
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 40 and not any(n.startswith('op') or n == 'pipeline' for n in q), list(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
 def test_nothing_else_imports_llm():
     for path in (ROOT / "factloom").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT).parts:
