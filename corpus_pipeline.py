@@ -15,7 +15,7 @@ from factloom.llm.line_dedup import drop_repeated_lines
 from factloom.llm.near_dup import drop_near_duplicates
 from factloom.llm.packing import pack_documents
 from factloom.llm.pu_quality import keep_good
-from factloom.sources.workspace import materialize
+from factloom.sources.workspace import drop_tables, materialize, tables_written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,9 +79,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; the tables of a stage go when the next one's input is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = tables_written()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"stage{k}")
+            drop_tables(spark, before, keep=1)
     return docs

@@ -23,9 +23,10 @@ def merge_losers(candidates: DataFrame, decisions: DataFrame, batch: str = "batc
 def apply_decisions(candidates: DataFrame, decisions: DataFrame, batch: str = "batch") -> DataFrame:
     """The candidates (batch, index, ...) that stay, with ``scope`` set to project where decided.
 
-    The first decision for a candidate holds (``rank`` orders them, if present); one without any stays.
+    The first decision for a candidate holds: ``rank`` orders them if present, else the action's name and the
+    target; a candidate without any stays.
     """
-    order = F.col("rank") if "rank" in decisions.columns else F.lit(0)
+    order = F.struct(*[c for c in ("rank", "action", "target") if c in decisions.columns])
     first = decisions.groupBy(batch, "index").agg(F.min_by(F.struct("action", "target"), order).alias("d")).select(batch, "index", "d.action", "d.target")
     stay = candidates.join(merge_losers(candidates, first, batch), [batch, "index"], "left_anti")
     out = stay.join(first.select(batch, "index", "action"), [batch, "index"], "left").where("coalesce(action, 'keep') <> 'drop'")

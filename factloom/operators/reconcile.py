@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_id
-from ..functions.vectors import cosine
+from ..functions.vectors import unit, unit_cosine
 from ..schema import CATEGORIES, SCOPES, live
 from ..settings import Settings
 from ..sources.workspace import materialize, ship_package
@@ -47,10 +47,10 @@ def best_match(incoming: DataFrame, store: DataFrame) -> DataFrame:
     rows meet in an equi join; the personal ones, which everything meets, in
     matrix products by blocks.
     """
-    new = incoming.select("id", "scope", F.col("source_project").alias("project"), F.col("embedding").alias("v"))
+    new = incoming.select("id", "scope", F.col("source_project").alias("project"), unit("embedding").alias("v"))
     old = live(store)
-    own = old.where("scope <> 'personal'").select(F.col("id").alias("match_id"), F.col("source_project").alias("project"), F.col("embedding").alias("w"))
-    own = new.where("scope = 'project'").join(own, "project").select("id", "match_id", cosine("v", "w").alias("score"))
+    own = old.where("scope <> 'personal'").select(F.col("id").alias("match_id"), F.col("source_project").alias("project"), unit("embedding").alias("w"))
+    own = new.where("scope = 'project'").join(own, "project").select("id", "match_id", unit_cosine("v", "w").alias("score"))
     shared = nearest(incoming.select("id", "embedding"), old.where("scope = 'personal'").select("id", "embedding"))
     best = F.min(F.struct((-F.round("score", 12)).alias("s"), "match_id"))
     return own.unionByName(shared).groupBy("id").agg(best.alias("b")).select("id", "b.match_id", (-F.col("b.s")).alias("score"))
@@ -58,9 +58,9 @@ def best_match(incoming: DataFrame, store: DataFrame) -> DataFrame:
 
 def supersession_pairs(incoming: DataFrame, store: DataFrame, s: Settings, entity: str = "entity") -> DataFrame:
     """(id, old_id, score, created_at): live store rows of one entity and project within the supersession band."""
-    new = incoming.select("id", F.col(entity).alias("entity"), "source_project", F.col("embedding").alias("v"))
-    old = store.where("superseded_by is null").select(F.col("id").alias("old_id"), F.col(entity).alias("entity"), "source_project", F.col("embedding").alias("w"), "created_at")
-    pairs = new.join(old, ["entity", "source_project"]).withColumn("score", cosine("v", "w"))
+    new = incoming.select("id", F.col(entity).alias("entity"), "source_project", unit("embedding").alias("v"))
+    old = store.where("superseded_by is null").select(F.col("id").alias("old_id"), F.col(entity).alias("entity"), "source_project", unit("embedding").alias("w"), "created_at")
+    pairs = new.join(old, ["entity", "source_project"]).withColumn("score", unit_cosine("v", "w"))
     return pairs.where((F.col("score") >= s.supersede_from) & (F.col("score") < s.supersede_below)).select("id", "old_id", "score", "created_at")
 
 
@@ -85,38 +85,63 @@ def reconcile_snapshot(incoming: DataFrame, store: DataFrame, s: Settings, entit
     )
 
 
-def _cos(v: np.ndarray, m: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros(len(m))
-    n = np.linalg.norm(v)
-    for k, w in enumerate(m):
-        d = n * np.linalg.norm(w) if len(w) == len(v) and len(v) else 0
-        out[k] = float(v @ w) / d if d > 0 else 0.0
-    return out
+class _Rows:
+    """The rows that candidates meet, as arrays: unit vectors by length, and what decides who may meet whom."""
+
+    def __init__(self, old: pd.DataFrame, new: pd.DataFrame):
+        name = lambda values: pd.factorize(values.where(values.map(lambda x: isinstance(x, str))))[0]  # noqa: E731 - -1 for none
+        n, self.n = len(old) + len(new), len(old)
+        self.ids = np.array([*old["id"], *new["id"]], object)
+        self.personal = np.array([*(old["scope"] == "personal"), *(new["scope"] == "personal")], bool)
+        self.project = name(pd.concat([old["source_project"], new["source_project"]], ignore_index=True))
+        self.entity = name(pd.concat([old["entity"], new["entity"]], ignore_index=True))
+        self.at = np.array([x.timestamp() for x in [*old["created_at"], *new["created_at"]]])
+        self.live = np.zeros(n, bool)
+        self.live[: self.n] = True
+        self.units: dict[int, np.ndarray] = {}
+        self.place = np.zeros(n, np.int64)  # of a row among those of its length
+        self.width = np.zeros(n, np.int64)
+        vectors = [np.asarray(v, np.float64) for v in [*old["embedding"], *new["embedding"]]]
+        for w in {len(v) for v in vectors}:
+            rows = [k for k, v in enumerate(vectors) if len(v) == w]
+            m = np.array([vectors[k] for k in rows]).reshape(len(rows), w)
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            self.units[w] = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+            self.place[rows], self.width[rows] = np.arange(len(rows)), w
+
+    def cosines(self, row: int, others: np.ndarray) -> np.ndarray:
+        """Rounded, so that equal vectors tie wherever they lie; 0 for other lengths."""
+        out = np.zeros(len(others))
+        same = np.flatnonzero(self.width[others] == self.width[row])
+        units = self.units[self.width[row]]
+        out[same] = np.round(units[self.place[others[same]]] @ units[self.place[row]], 12)
+        return out
 
 
 def fold(new: pd.DataFrame, old: pd.DataFrame, s: Settings) -> pd.DataFrame:
     """Ordered reconciliation of gated candidates against rows that they may meet."""
-    rows = [{"id": r.id, "scope": r.scope, "project": r.source_project, "entity": r.entity, "v": np.asarray(r.embedding, np.float64), "at": r.created_at.timestamp(), "live": True} for r in old.itertuples() if pd.isna(r.superseded_by)]
+    old = old[old["superseded_by"].isna()]
+    new = new.sort_values(["seq", "id"])
+    rows = _Rows(old, new)
     out = []
-    for r in new.sort_values(["seq", "id"]).itertuples():
+    for me, r in enumerate(new.itertuples(), rows.n):
         if isinstance(r.outcome, str):
             out.append((r.id, r.outcome, None, []))
             continue
-        v = np.asarray(r.embedding, np.float64)
-        may = [x for x in rows if x["live"] and (x["scope"] == "personal" or (r.scope == "project" and x["project"] == r.source_project and isinstance(r.source_project, str)))]
-        score = _cos(v, [x["v"] for x in may])
+        own = rows.project == rows.project[me] if rows.project[me] >= 0 else np.zeros(len(rows.live), bool)
+        may = np.flatnonzero(rows.live & (rows.personal | own if r.scope == "project" else rows.personal))
         if len(may):
-            top = min(range(len(may)), key=lambda k: (-score[k], may[k]["id"]))
-            if score[top] > s.duplicate_above:
-                out.append((r.id, "duplicate", may[top]["id"], []))
+            score = rows.cosines(me, may)
+            top = min(may[score == score.max()], key=lambda k: rows.ids[k])
+            if score.max() > s.duplicate_above:
+                out.append((r.id, "duplicate", rows.ids[top], []))
                 continue
-        same = [x for x in rows if x["live"] and isinstance(r.entity, str) and x["entity"] == r.entity and isinstance(r.source_project, str) and x["project"] == r.source_project]
-        band = [x for x, c in zip(same, _cos(v, [x["v"] for x in same])) if s.supersede_from <= c < s.supersede_below]
-        band.sort(key=lambda x: (-x["at"], x["id"]))
-        for x in band:
-            x["live"] = False
-        rows.append({"id": r.id, "scope": r.scope, "project": r.source_project, "entity": r.entity, "v": v, "at": r.created_at.timestamp(), "live": True})
-        out.append((r.id, r.lifecycle, band[0]["id"] if band else None, [x["id"] for x in band]))
+        same = np.flatnonzero(rows.live & own & (rows.entity == rows.entity[me])) if rows.entity[me] >= 0 else np.zeros(0, np.int64)
+        score = rows.cosines(me, same)
+        band = sorted(same[(score >= s.supersede_from) & (score < s.supersede_below)], key=lambda k: (-rows.at[k], rows.ids[k]))
+        rows.live[band] = False
+        rows.live[me] = True
+        out.append((r.id, r.lifecycle, rows.ids[band[0]] if band else None, [rows.ids[k] for k in band]))
     return pd.DataFrame(out, columns=["id", "outcome", "ref_id", "superseded"])
 
 

@@ -32,12 +32,16 @@ def get_by_id(facts: DataFrame, id_: str) -> DataFrame:
     return facts.where(F.col("id") == id_)
 
 
+def with_prefix(facts: DataFrame, prefix: str) -> DataFrame:
+    """The rows whose id starts with ``prefix``, or is it, for a full UUID."""
+    if _UUID.fullmatch(prefix):
+        return get_by_id(facts, prefix.lower())
+    return facts.where(F.col("id").startswith(prefix))
+
+
 def find_by_prefix(facts: DataFrame, prefix: str) -> DataFrame:
     """The one row whose id starts with ``prefix`` (or is it, for a full UUID); none or several are an error."""
-    if _UUID.fullmatch(prefix):
-        found = get_by_id(facts, prefix.lower())
-    else:
-        found = facts.where(F.col("id").startswith(prefix))
+    found = with_prefix(facts, prefix)
     ids = [r.id for r in found.select("id").orderBy("id").limit(5).collect()]
     if not ids:
         raise LookupError(f"nothing starts with {prefix!r}")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,18 +23,19 @@ def _blocks(df: DataFrame, id_: str, vector: str, size: int, tag: str) -> DataFr
     return materialize(rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b")).agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vecs")), f"{tag}-blocks")
 
 
-def _units(vecs: list) -> np.ndarray:
-    """Rows over their norms; vectors of another length than most become 0, and so match nothing."""
-    width = max(set(map(len, vecs)), key=list(map(len, vecs)).count)
-    m = np.zeros((len(vecs), width))
-    for k, v in enumerate(vecs):
-        if len(v) == width:
-            m[k] = v
+def _units(vecs: pa.Scalar) -> np.ndarray:
+    """Rows of a list of vectors over their norms; vectors of another length than most become 0, and so match nothing."""
+    rows = vecs.values
+    size = pc.list_value_length(rows).to_numpy()
+    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    width = int(np.bincount(size).argmax())
+    m = np.zeros((len(size), width))
+    m[size == width] = flat[np.repeat(size == width, size)].reshape(-1, width)
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _product(x: list, y: list) -> np.ndarray:
+def _product(x: pa.Scalar, y: pa.Scalar) -> np.ndarray:
     a, b = _units(x), _units(y)
     return a @ b.T if a.shape[1] == b.shape[1] else np.zeros((len(a), len(b)))
 
@@ -47,7 +49,7 @@ def similar_pairs(df: DataFrame, at_least: float, id_: str = "id", vector: str =
             for k in range(batch.num_rows):
                 one, other = batch.column(0)[k].as_py(), batch.column(3)[k].as_py()
                 x, y = np.array(batch.column(1)[k].as_py(), object), np.array(batch.column(4)[k].as_py(), object)
-                score = _product(batch.column(2)[k].as_py(), batch.column(5)[k].as_py())
+                score = _product(batch.column(2)[k], batch.column(5)[k])
                 i, j = np.nonzero(score >= at_least)
                 if one == other:
                     i, j = i[x[i] < y[j]], j[x[i] < y[j]]
@@ -68,7 +70,7 @@ def nearest(left: DataFrame, right: DataFrame, size: int = 512) -> DataFrame:
             for k in range(batch.num_rows):
                 ids, others = batch.column(1)[k].as_py(), batch.column(4)[k].as_py()
                 order = np.argsort(np.array(others))
-                score = _product(batch.column(2)[k].as_py(), batch.column(5)[k].as_py())[:, order]
+                score = _product(batch.column(2)[k], batch.column(5)[k])[:, order]
                 top = score.argmax(1)
                 yield pa.record_batch([pa.array(ids), pa.array([others[order[t]] for t in top]), pa.array(score[np.arange(len(ids)), top])], names=["id", "match_id", "score"])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_noise, text_lines, token_estimate
 from ..settings import Settings
-from ..sources.workspace import ship_package
+from ..sources.workspace import materialize, ship_package
 
 CHUNK = "session string, project string, chunk_index int, text string, approx_tokens bigint"
 
@@ -16,32 +16,24 @@ CHUNK = "session string, project string, chunk_index int, text string, approx_to
 def shorten_code(text: Column, most: int) -> Column:
     """Fenced blocks of more than ``most`` lines become a one-line note; lines end in a line feed.
 
-    Fence parity by a fold over the lines, in the JVM: the state holds the text so
-    far, the open block and its language.
+    The text is cut at the fences that begin a line, and every other piece is a
+    block, so the work is in proportion to the text.
     """
-    fence = lambda line: line.startswith("```")
-    block = lambda s: F.concat(F.lit("```"), s["lang"], F.lit("\n"), F.array_join(F.transform(s["code"], lambda c: F.concat(c, F.lit("\n"))), ""))
-    note = lambda s: F.concat(F.lit("[code block: "), F.when(s["lang"] == "", "code").otherwise(s["lang"]), F.lit(", "), F.size(s["code"]).cast("string"), F.lit(" lines]\n"))
-    none = F.expr("cast(array() as array<string>)")
-    state = lambda out, inside, lang, code: F.struct(out.alias("out"), inside.alias("inside"), lang.alias("lang"), code.alias("code"))
-    start = state(F.lit(""), F.lit(False), F.lit(""), none)
-
-    def step(s, line):
-        long_ = F.size(s["code"]) > most
-        closed = F.concat(s["out"], F.when(long_, note(s)).otherwise(F.concat(block(s), F.lit("```\n"))))
-        return (
-            F.when(fence(line) & s["inside"], state(closed, F.lit(False), F.lit(""), none))
-            .when(fence(line), state(s["out"], F.lit(True), F.regexp_replace(line, "^`+", ""), none))
-            .when(s["inside"], state(s["out"], F.lit(True), s["lang"], F.concat(s["code"], F.array(line))))
-            .otherwise(state(F.concat(s["out"], line, F.lit("\n")), F.lit(False), s["lang"], s["code"]))
-        )
-
-    def finish(s):
-        open_ = s["inside"] & (F.size(s["code"]) > 0)
-        return F.when(open_, F.concat(s["out"], F.when(F.size(s["code"]) > most, note(s)).otherwise(block(s)))).otherwise(s["out"])
-
-    lines = F.when(text == "", none).otherwise(text_lines(text))
-    return F.when(~F.contains(text, F.lit("```")), F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")).otherwise(F.aggregate(lines, start, step, finish))
+    lines = F.when(text == "", F.expr("cast(array() as array<string>)")).otherwise(text_lines(text))
+    plain = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    pieces = F.split(plain, "(?dm)^```")
+    rest = lambda x: F.substring_index(x, "\n", 1)  # noqa: E731 - what stands beside the fence
+    body = lambda x: x.substr(F.length(rest(x)) + 2, F.length(x))
+
+    def block(x, closed):
+        lang, code = F.regexp_replace(rest(x), "^`+", ""), body(x)
+        n = F.length(code) - F.length(F.translate(code, "\n", ""))
+        note = F.concat(F.lit("[code block: "), F.when(lang == "", "code").otherwise(lang), F.lit(", "), n.cast("string"), F.lit(" lines]\n"))
+        whole = F.concat(F.lit("```"), lang, F.lit("\n"), code, F.when(closed, "```\n").otherwise(""))
+        return F.when(n > most, note).when(closed | (n > 0), whole).otherwise("")
+
+    shown = F.transform(pieces, lambda x, k: F.when(k % 2 == 1, block(x, k < F.size(pieces) - 1)).when(k > 0, body(x)).otherwise(x))
+    return F.when(~F.contains(text, F.lit("```")), plain).otherwise(F.array_join(shown, ""))
 
 
 def record_turns(records: DataFrame, s: Settings) -> DataFrame:
@@ -106,7 +98,11 @@ def merge_turns(turns: DataFrame) -> DataFrame:
 def format_conversation(merged: DataFrame) -> DataFrame:
     """(session, text): "Role: text" and a blank line for each turn in order."""
     rows = merged.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    return rows.select("session", F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"], F.lit("\n\n"))), "").alias("text"))
+    return rows.select("session", _joined("t").alias("text"))
+
+
+def _joined(turns: str) -> Column:
+    return F.array_join(F.transform(turns, lambda x: F.concat(x["role"], F.lit(": "), x["text"], F.lit("\n\n"))), "")
 
 
 def pack_paragraphs(text: str, most: int, overlap: int, remember: int = 5) -> list[tuple[str, int]]:
@@ -169,10 +165,16 @@ def chunk(conversations: DataFrame, s: Settings) -> DataFrame:
 
 def preprocess(records: DataFrame, s: Settings, resumed: DataFrame | None = None) -> DataFrame:
     """Chunks of raw transcript lines: turns, gate, asides, merge, format, pack."""
-    turns = min_turn_gate(record_turns(records, s), s.min_human_turns, resumed)
+    return preprocess_turns(materialize(record_turns(records, s), "turns"), s, resumed)
+
+
+def preprocess_turns(turns: DataFrame, s: Settings, resumed: DataFrame | None = None) -> DataFrame:
+    """The same of turns, which should be a written table, as they are read several times."""
+    turns = min_turn_gate(turns, s.min_human_turns, resumed)
     project = turns.groupBy("session").agg(F.min("project").alias("project"))
     main = turns.where("not aside").select("session", "line_no", "role", "text")
     own = aside_turns(turns.where("aside").select("session", "line_no", "role", "text"))
     merged = merge_turns(main.unionByName(own))
-    talk = format_conversation(merged).join(merged.where(F.regexp_replace("text", r"\s", "") != "").select("session").distinct(), "session", "left_semi")
+    rows = merged.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"), F.max(F.regexp_replace("text", r"\s", "") != "").alias("some")).where("some")
+    talk = rows.select("session", _joined("t").alias("text"))
     return chunk(talk.join(project, "session"), s)

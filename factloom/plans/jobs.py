@@ -13,10 +13,10 @@ from ..functions.model import Factory, chat_column, embed_column
 from ..functions.parsers import candidates_column, decisions_column, synthesis_column
 from ..functions.text import preview, tail_bytes
 from ..operators import curate, reconcile, serve, settle
-from ..operators.transcripts import preprocess
+from ..operators.transcripts import min_turn_gate, preprocess_turns, record_turns
 from ..schema import conform
 from ..settings import Settings
-from ..sources.sessions import discover, raw_lines
+from ..sources.sessions import discover, load_cursor, mark_processed, needs_processing, raw_lines, read_ends, store_cursor
 from ..sources.store import FactStore
 from ..sources.workspace import materialize, ship_package
 
@@ -77,7 +77,8 @@ def reconcile_records(records: DataFrame, store: FactStore, factory: Factory, s:
         report.counts[name] = report.tables[name].count()
         return report.tables[name]
 
-    chunks = keep("chunks", preprocess(records, s, resumed))
+    report.tables["turns"] = turns = materialize(record_turns(records, s), "turns")
+    chunks = keep("chunks", preprocess_turns(turns, s, resumed))
     if level < 1:
         return report
     found, dead = extract(chunks, factory)
@@ -112,17 +113,42 @@ def reconcile_records(records: DataFrame, store: FactStore, factory: Factory, s:
     return report
 
 
-def reconcile_job(spark: SparkSession, root: str, store: FactStore, factory: Factory, s: Settings | None = None, depth: str = "commit", exclude=(), limit: int | None = None, session_prefix: str | None = None) -> Report:
-    """Discovery, then ``reconcile_records``; the prefix applies after the limit."""
+def reconcile_job(spark: SparkSession, root: str, store: FactStore, factory: Factory, s: Settings | None = None, depth: str = "commit", exclude=(), limit: int | None = None, session_prefix: str | None = None, cursor: str | None = None) -> Report:
+    """Discovery, then ``reconcile_records``; the prefix applies after the limit.
+
+    ``cursor`` is the path of the saved cursor.  A committing run skips the files
+    that it has as they are and reads of the others only what was appended; it is
+    saved after the commit, so a run that fails is made again.  Sessions with too
+    few human turns stay where they were, and are read from there when they grow.
+    Runs short of commit read everything and leave the cursor alone.
+    """
+    s = s or Settings()
     files = discover(spark, root, exclude, limit)
     if session_prefix:
         files = files.where(F.col("session").startswith(session_prefix))
     files = materialize(files, "files")
-    report = reconcile_records(raw_lines(spark, files), store, factory, s, depth)
-    report.counts["files"] = files.count()
+    if cursor is None or depth != "commit":
+        report = reconcile_records(raw_lines(spark, files), store, factory, s, depth)
+        report.counts["files"] = files.count()
+        return report
+    seen = load_cursor(spark, cursor)
+    todo = materialize(needs_processing(files, seen), "todo")
+    lines = materialize(raw_lines(spark, todo), "lines")
+    resumed = todo.where("offset > 0").select("session")
+    report = reconcile_records(lines, store, factory, s, depth, resumed)
+    passed = min_turn_gate(report.tables["turns"], s.min_human_turns, resumed).select("session").union(resumed).distinct()
+    done = materialize(read_ends(todo.join(passed, "session", "left_semi"), lines), "done")
+    store_cursor(spark, cursor, mark_processed(seen, done))
+    report.counts |= job_counters(files, todo, done)
     return report
 
 
+def job_counters(files: DataFrame, todo: DataFrame, done: DataFrame) -> dict[str, int]:
+    """How many files there were, how many of them the cursor had, and how many had too few turns."""
+    n, m = files.count(), todo.count()
+    return {"files": n, "skipped_by_cursor": n - m, "skipped_short": m - done.count()}
+
+
 def settle_job(store: FactStore, factory: Factory, s: Settings | None = None, dry_run: bool = False, as_of=None) -> Report:
     """Promotions and syntheses.  The preview comes first; an empty one ends the job, and an item whose text can't be made is left for next time."""
     s = s or Settings()

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.parsers import candidates_column
+from ..functions import vectors as V
+from ..functions.model import StubModel
+from ..functions.parsers import candidates_column, decisions_column, synthesis_column
 from ..functions.vectors import cosine, l2_normalize
 from ..operators import curate, reconcile, serve, settle
 from ..operators import transcripts as tr
 from ..operators.components import connected_components
 from ..operators.similarity import similar_pairs
-from ..schema import live
+from ..schema import conform, live, problems
 from ..settings import Settings
 from ..sources import sessions
 from ..sources.fixtures import FACTS_SQL, facts_view
+from ..sources.store import FactStore
+from ..sources.workspace import shared_dir
+from . import jobs
+from .jobs import settle_job
 
 #: Random test vectors never come near the default thresholds.
 TEST = replace(Settings(), duplicate_above=0.35, supersede_from=0.10, supersede_below=0.30, cluster_from=0.38, chunk_max_tokens=300, chunk_overlap_tokens=40)
@@ -113,7 +120,7 @@ def get_by_id(spark, sf):
 
 @query("WITH {facts} SELECT id, content FROM facts WHERE starts_with(id, '0000012') ORDER BY id")
 def prefix_candidates(spark, sf):
-    return facts_view(spark, sf).where(F.col("id").startswith("0000012")).select("id", "content").orderBy("id")
+    return serve.with_prefix(facts_view(spark, sf), "0000012").select("id", "content").orderBy("id")
 
 
 @query("WITH {facts} SELECT id, category FROM facts WHERE starts_with(id, '00000123')")
@@ -249,7 +256,28 @@ def xml_strip(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.strip_noise(t).alias("text"))
 
 
-@query()
+#: Chunks of talk(session, text) at TEST's sizes: items are paragraphs, or the lines of one that is too long; each step takes one.
+_CHUNKS = """long AS (SELECT * FROM talk WHERE strlen(text) // 4 > 300),
+par AS (SELECT session, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS pi FROM long),
+item AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY pi, li) AS k, line, li, x, strlen(x) // 4 AS n FROM (
+  SELECT session, pi, 1::BIGINT AS li, false AS line, p AS x FROM par WHERE strlen(p) // 4 <= 300 UNION ALL
+  SELECT session, pi, generate_subscripts(string_split(p, chr(10)), 1), true, unnest(string_split(p, chr(10))) FROM par WHERE strlen(p) // 4 > 300)),
+st AS (SELECT session, 0::BIGINT AS k, '' AS held, 0::BIGINT AS weight, []::VARCHAR[] AS recent, NULL::VARCHAR AS out, NULL::BIGINT AS out_n FROM long
+  UNION ALL
+  SELECT session, k, CASE WHEN NOT over THEN held WHEN line THEN '' ELSE array_to_string(list_transform(recent[1:take], lambda e: e || chr(10) || chr(10)), '') END || x || chr(10) || CASE WHEN line THEN '' ELSE chr(10) END,
+    CASE WHEN NOT over THEN weight WHEN line THEN 0 ELSE coalesce(list_sum(list_transform(recent[1:take], lambda e: strlen(e) // 4)), 0) END::BIGINT + n,
+    CASE WHEN line THEN []::VARCHAR[] ELSE list_append(recent, x)[-5:] END, CASE WHEN over THEN held END, CASE WHEN over THEN weight END
+  FROM (SELECT s.*  REPLACE (i.k AS k), i.line, i.x, i.n, s.held <> '' AND (i.line AND i.li = 1 OR s.weight + i.n > 300) AS over,
+        len(list_filter(range(1, len(s.recent) + 1), lambda j: list_sum(list_transform(s.recent[1:j], lambda e: strlen(e) // 4)) <= 40)) AS take
+        FROM st s JOIN item i ON i.session = s.session AND i.k = s.k + 1)),
+ended AS (SELECT session, k, out, out_n FROM st WHERE out IS NOT NULL UNION ALL SELECT session, k + 1, held, weight FROM st QUALIFY k = max(k) OVER (PARTITION BY session) AND held <> ''),
+chunks AS (SELECT session::VARCHAR AS session, 'p' AS project, (row_number() OVER (PARTITION BY session ORDER BY k) - 1)::INTEGER AS chunk_index, out AS text, out_n AS approx_tokens FROM ended
+  UNION ALL SELECT session::VARCHAR, 'p', 0, text, strlen(text) // 4 FROM talk WHERE strlen(text) // 4 <= 300)"""
+
+
+@query(f"""WITH RECURSIVE {TURNS_SQL}, t AS (SELECT * FROM turns), m AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY session ORDER BY line_no) = role THEN 0 ELSE 1 END AS new FROM t),
+g AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY line_no) - 1 AS turn FROM m), merged AS (SELECT session, turn, role, string_agg(text, chr(10) ORDER BY line_no) AS text FROM g GROUP BY ALL),
+talk AS (SELECT session, string_agg(role || ': ' || text || chr(10) || chr(10), '' ORDER BY turn) AS text FROM merged GROUP BY session), {_CHUNKS} SELECT * FROM chunks""")
 def chunk_conversations(spark, sf):
     talk = tr.format_conversation(tr.merge_turns(turns(spark, sf))).withColumn("project", F.lit("p"))
     return tr.chunk(talk.select(F.col("session").cast("string").alias("session"), "project", "text"), TEST)
@@ -269,7 +297,11 @@ def transcript_turns(spark, sf):
     return tr.record_turns(_json_lines(spark, sf), TEST).select("session", "line_no", "role", "text")
 
 
-@query()
+@query(f"""WITH RECURSIVE {TURNS_SQL}, t AS (SELECT session, line_no, role, CASE WHEN role = 'Assistant' AND NOT ends_with(text, chr(10)) THEN text || chr(10) ELSE text END AS text FROM turns
+  WHERE text <> '' AND session IN (SELECT session FROM turns WHERE text <> '' GROUP BY session HAVING count(*) FILTER (role = 'Human') >= 4)),
+m AS (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY session ORDER BY line_no) = role THEN 0 ELSE 1 END AS new FROM t),
+g AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY line_no) - 1 AS turn FROM m), merged AS (SELECT session, turn, role, string_agg(text, chr(10) ORDER BY line_no) AS text FROM g GROUP BY ALL),
+talk AS (SELECT session, string_agg(role || ': ' || text || chr(10) || chr(10), '' ORDER BY turn) AS text FROM merged GROUP BY session HAVING bool_or(trim(text, E' \\t\\n\\r') <> '')), {_CHUNKS} SELECT * FROM chunks""")
 def preprocess_transcripts(spark, sf):
     return tr.preprocess(_json_lines(spark, sf), TEST)
 
@@ -353,7 +385,21 @@ def reconcile_outcomes_snapshot(spark, sf):
     return reconcile.reconcile_snapshot(new, old, TEST)
 
 
-@query()
+@query(f"""WITH RECURSIVE {{facts}}, {_SPLIT},
+c AS (SELECT *, row_number() OVER (PARTITION BY source_project ORDER BY id) AS k FROM inc WHERE scope = 'project'),
+every AS (SELECT id, scope, source_project, entity, embedding, created_at, true AS stored FROM store UNION ALL SELECT id, scope, source_project, entity, embedding, created_at, false FROM c),
+o AS (SELECT a.id, list(struct_pack(id := b.id, s := round({_COS}, 12), same := coalesce(b.source_project = a.source_project AND b.entity = a.entity, false), at := epoch_us(b.created_at), stored := b.stored)) AS others
+  FROM c a JOIN every b ON (b.scope = 'personal' OR b.source_project = a.source_project) AND (b.stored OR b.id < a.id) GROUP BY a.id),
+st AS (SELECT DISTINCT source_project AS project, 0::BIGINT AS k, []::VARCHAR[] AS added, []::VARCHAR[] AS dead, NULL::VARCHAR AS id, NULL::VARCHAR AS outcome, NULL::VARCHAR AS ref_id, []::VARCHAR[] AS superseded FROM c
+  UNION ALL
+  SELECT project, k, CASE WHEN kept THEN list_append(added, id) ELSE added END, CASE WHEN kept THEN list_concat(dead, ids) ELSE dead END, id, outcome,
+    CASE WHEN outcome = 'duplicate' THEN best.id WHEN kept THEN ids[1] END, CASE WHEN kept THEN ids ELSE []::VARCHAR[] END
+  FROM (SELECT *, outcome IN ('accepted', 'candidate') AS kept, list_transform(list_sort(list_transform(list_filter(alive, lambda x: x.same AND x.s >= 0.10 AND x.s < 0.30), lambda x: struct_pack(t := -x.at, id := x.id))), lambda x: x.id) AS ids
+    FROM (SELECT *, CASE WHEN conf_pct < 60 THEN 'low_confidence' WHEN best.d < -0.35 THEN 'duplicate' ELSE lifecycle END AS outcome
+      FROM (SELECT *, list_sort(list_transform(alive, lambda x: struct_pack(d := -x.s, id := x.id)))[1] AS best
+        FROM (SELECT st.project, c.k, st.added, st.dead, c.id, c.conf_pct, c.lifecycle, list_filter(coalesce(o.others, []), lambda x: NOT list_contains(st.dead, x.id) AND (x.stored OR list_contains(st.added, x.id))) AS alive
+          FROM st JOIN c ON c.source_project = st.project AND c.k = st.k + 1 LEFT JOIN o ON o.id = c.id)))))
+SELECT id, outcome, ref_id, superseded FROM st WHERE k > 0""")
 def reconcile_ordered(spark, sf):
     new, old = _split(spark, sf)
     new = new.where("scope = 'project'").withColumns({"confidence": F.col("conf_pct") / 100, "scope_confidence": F.lit(1.0), "seq": F.col("id")})
@@ -384,7 +430,9 @@ def update_scope(spark, sf):
 
 @query("WITH {facts} SELECT id FROM facts WHERE id <> '00000010'")
 def delete_row(spark, sf):
-    return facts_view(spark, sf).where("id <> '00000010'").select("id")
+    store = _store(spark, sf)
+    store.delete("00000010")
+    return store.read().select("id")
 
 
 @query("""WITH RECURSIVE {facts}, l AS (SELECT id, CASE WHEN n % 4 <> 3 AND id < (SELECT max(id) FROM facts) THEN lpad((n + 1)::VARCHAR, 8, '0') END AS next FROM facts),
@@ -498,19 +546,171 @@ def extract_explode(spark, sf):
     return p.select("doc_id", F.posexplode("p.items").alias("pos", "c")).select("doc_id", "pos", "c.content", F.round("c.confidence", 2).alias("confidence"))
 
 
-@query()
-def settle_persist(spark, sf):
-    """A consolidation with the deterministic model, written to a store and read back."""
-    import uuid
+def _uuid_sql(text: str) -> str:
+    h = f"sha256({text})"
+    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12)"
 
-    from ..functions.model import StubModel
-    from ..schema import conform
-    from ..sources.store import FactStore
-    from ..sources.workspace import shared_dir
-    from .jobs import settle_job
 
+def _store(spark, sf) -> FactStore:
+    """A store of all facts."""
     store = FactStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
     store.insert(conform(facts_view(spark, sf)))
-    as_of = F.to_timestamp(F.lit("2025-01-01 00:00:00"))
-    settle_job(store, lambda: StubModel(64), TEST, as_of=as_of)
-    return store.read().where("source_session = 'settling'").select("id", "scope", "category", "entity", "lifecycle", "supersedes", F.round("confidence", 2).alias("confidence"))
+    return store
+
+
+def _percent():
+    return F.round(F.col("confidence").cast("double") * 100).cast("int").alias("conf_pct")
+
+
+@query(f"""WITH RECURSIVE {{facts}}, {_CLUSTERS}, {_PROMOTED}, lv AS (SELECT * FROM facts WHERE superseded_by IS NULL AND entity IS NOT NULL),
+ok AS (SELECT entity FROM lv GROUP BY entity HAVING count(*) BETWEEN 3 AND 10 AND count(DISTINCT source_session) > 1),
+lf AS (SELECT * FROM lv WHERE entity IN (SELECT entity FROM ok) AND id NOT IN (SELECT unnest(ids) FROM pr)),
+vc AS (SELECT entity, category, count(*) AS n FROM lf GROUP BY ALL), vs AS (SELECT entity, scope, count(*) AS n FROM lf GROUP BY ALL), vp AS (SELECT cluster, category, count(*) AS n FROM cl JOIN facts USING (id) GROUP BY ALL),
+made AS (SELECT 'promotion' AS kind, ids, 'personal' AS scope, (SELECT arg_min(category, (-n, category)) FROM vp WHERE vp.cluster = pr.cluster) AS category, NULL::VARCHAR AS entity, 80 AS conf_pct FROM pr
+  UNION ALL SELECT 'synthesis', list(id ORDER BY id), (SELECT arg_min(scope, (-n, scope)) FROM vs WHERE vs.entity = lf.entity), (SELECT arg_min(category, (-n, category)) FROM vc WHERE vc.entity = lf.entity), entity, max(conf_pct) FROM lf GROUP BY entity HAVING count(*) >= 3),
+new AS (SELECT {_uuid_sql("kind || chr(31) || array_to_string(ids, ',')")} AS id, * EXCLUDE (kind) FROM made),
+old AS (SELECT unnest(ids) AS old_id, id AS new_id FROM new)
+SELECT id, scope, category, entity, 'candidate' AS lifecycle, ids[1] AS supersedes, NULL::VARCHAR AS superseded_by, conf_pct FROM new
+UNION ALL SELECT id, scope, category, entity, lifecycle, NULL, coalesce(new_id, superseded_by), conf_pct FROM facts LEFT JOIN (SELECT old_id, min(new_id) AS new_id FROM old GROUP BY old_id) ON old_id = id""")
+def settle_persist(spark, sf):
+    """A consolidation with the deterministic model, written to a store and read back: the new rows and the old ones with their links."""
+    store = _store(spark, sf)
+    settle_job(store, lambda: StubModel(64), TEST, as_of=F.to_timestamp(F.lit("2025-01-01 00:00:00")))
+    return store.read().select("id", "scope", "category", "entity", "lifecycle", "supersedes", "superseded_by", _percent())
+
+
+# the store
+
+
+@query("WITH {facts} SELECT id, content, scope, category, entity, source_project, lifecycle, superseded_by, conf_pct, embedding_dim FROM facts UNION ALL SELECT 'zz', 'made up', 'project', 'fact', NULL, NULL, 'accepted', NULL, 90, 64")
+def store_insert(spark, sf):
+    store = _store(spark, sf)
+    store.insert_placeholder("zz", "made up", dim=64, confidence=0.9)
+    return store.read().select("id", "content", "scope", "category", "entity", "source_project", "lifecycle", "superseded_by", _percent(), "embedding_dim")
+
+
+@query("WITH {facts} SELECT id, CASE WHEN id = '00000012' THEN 'accepted' ELSE lifecycle END AS lifecycle, CASE WHEN id = '00000013' THEN 'personal' ELSE scope END AS scope FROM facts")
+def store_accept_promote(spark, sf):
+    store = _store(spark, sf)
+    store.accept("00000012")
+    store.promote("00000013")
+    return store.read().select("id", "lifecycle", "scope")
+
+
+@query("WITH {facts} SELECT id, superseded_by FROM (SELECT id, CASE WHEN n % 10 = 1 THEN 'new-' || (n % 3) ELSE superseded_by END AS superseded_by FROM facts) UNION ALL SELECT 'new-' || k, NULL FROM range(0, 3) r(k)")
+def store_settle(spark, sf):
+    store = _store(spark, sf)
+    facts = facts_view(spark, sf)
+    rows = conform(facts.where("n < 3").withColumns({"id": F.concat(F.lit("new-"), F.col("n").cast("string")), "superseded_by": F.lit(None).cast("string")}))
+    edges = facts.where("n % 10 = 1").select(F.concat(F.lit("new-"), (F.col("n") % 3).cast("string")).alias("new_id"), F.col("id").alias("old_id"))
+    store.settle(rows, edges)
+    return store.read().select("id", "superseded_by")
+
+
+@query("WITH {facts} SELECT id, content, scope, entity, source_project, superseded_by, false AS has_vector FROM facts")
+def export_json(spark, sf):
+    rows = serve.export_json(conform(facts_view(spark, sf)))
+    return rows.select("id", *[F.get_json_object("json", f"$.{c}").alias(c) for c in ("content", "scope", "entity", "source_project", "superseded_by")], F.contains("json", F.lit('"embedding"')).alias("has_vector"))
+
+
+@query("""WITH {facts} SELECT id, CASE WHEN n % 7 = 0 THEN 'missing content' WHEN n % 7 = 1 THEN 'invalid scope: team' WHEN n % 7 = 2 THEN 'invalid category: rumour' WHEN n % 7 = 3 THEN 'invalid lifecycle: gone' ELSE 'embedding_dim differs from the embedding' END AS reason FROM facts WHERE n % 7 < 5""")
+def unsound_rows(spark, sf):
+    n = F.col("n") % 7
+    bad = facts_view(spark, sf).withColumns({
+        "content": F.when(n != 0, F.col("content")), "scope": F.when(n == 1, "team").otherwise(F.col("scope")), "category": F.when(n == 2, "rumour").otherwise(F.col("category")),
+        "lifecycle": F.when(n == 3, "gone").otherwise(F.col("lifecycle")), "embedding_dim": F.when(n == 4, 3).otherwise(F.col("embedding_dim")),
+    })
+    return bad.withColumn("reason", problems()).where("reason is not null").select("id", "reason")
+
+
+@query("WITH {facts} SELECT id, scope, category, content, CASE WHEN n % 2 = 0 THEN 'duplicate' ELSE 'accepted' END AS outcome FROM facts WHERE n % 3 = 0")
+def outcome_preview(spark, sf):
+    f = facts_view(spark, sf)
+    return jobs.outcome_preview(f, f.where("n % 3 = 0").select("id", F.when(F.col("n") % 2 == 0, "duplicate").otherwise("accepted").alias("outcome")))
+
+
+@query(f"WITH {{facts}}, t AS (SELECT * FROM facts WHERE lifecycle = 'accepted' ORDER BY {_SCORE} DESC, id LIMIT 1) SELECT id FROM t WHERE superseded_by IS NULL")
+def recall_limit_clamped(spark, sf):
+    return serve.recall(facts_view(spark, sf), probe(spark, sf), 0).select("id")
+
+
+@query("""WITH {facts}, d AS (SELECT * FROM facts WHERE id = '00000042')
+SELECT 'id' AS name, id AS value FROM d UNION ALL SELECT 'content', content FROM d UNION ALL SELECT 'scope', scope FROM d UNION ALL SELECT 'entity', entity FROM d UNION ALL SELECT 'superseded_by', superseded_by FROM d""")
+def row_detail(spark, sf):
+    return serve.detail(facts_view(spark, sf), "00000042").where(F.col("name").isin("id", "content", "scope", "entity", "superseded_by"))
+
+
+# sessions, ids and bytes
+
+
+@query("""WITH f AS (SELECT doc_id::VARCHAR AS key, doc_id * 60 AS mtime, strlen(text) AS size FROM documents),
+c AS (SELECT doc_id::VARCHAR AS key, doc_id * 60 - CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS cm, strlen(text) - CASE WHEN doc_id % 3 = 0 THEN 10 ELSE 0 END AS o FROM documents WHERE doc_id % 2 = 0),
+t AS (SELECT key FROM f LEFT JOIN c USING (key) WHERE c.cm IS NULL OR mtime > cm OR size > o)
+SELECT (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM f) - (SELECT count(*) FROM t) AS skipped_by_cursor, (SELECT count(*) FROM t WHERE key::BIGINT % 4 = 1) AS skipped_short""")
+def run_counters(spark, sf):
+    files = _files(spark, sf)
+    n = F.col("key").cast("bigint")
+    cursor = files.where(n % 2 == 0).select("key", (F.col("mtime") - F.when(n % 5 == 0, 1).otherwise(0)).alias("mtime"), (F.col("size") - F.when(n % 3 == 0, 10).otherwise(0)).alias("offset"))
+    todo = sessions.needs_processing(files, cursor)
+    found = jobs.job_counters(files, todo, todo.where(n % 4 != 1))
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} long" for k in found))
+
+
+@query("""WITH f AS (SELECT doc_id::VARCHAR AS key, doc_id * 60 AS mtime, doc_id % 3 AS k FROM documents)
+SELECT key, CASE WHEN k = 2 THEN mtime ELSE mtime + 5 END AS mtime, CASE k WHEN 2 THEN 7 ELSE 9 END::BIGINT AS "offset" FROM f WHERE k > 0 UNION ALL SELECT key, mtime, 7 FROM f WHERE k = 0 AND key::BIGINT % 2 = 0 UNION ALL SELECT key, mtime + 5, 9 FROM f WHERE k = 0 AND key::BIGINT % 2 = 1""")
+def cursor_marked(spark, sf):
+    """Files of residue 1 and odd ones of residue 0 were read on; the rest of the cursor stays."""
+    f, n = _files(spark, sf), F.col("key").cast("bigint")
+    on = (n % 3 == 1) | ((n % 3 == 0) & (n % 2 == 1))
+    return sessions.mark_processed(f.where(n % 3 != 1).select("key", "mtime", F.lit(7).cast("long").alias("offset")), f.where(on).select("key", (F.col("mtime") + 5).alias("mtime"), F.lit(9).cast("long").alias("offset")))
+
+
+@query("""SELECT source AS project, CASE WHEN doc_id % 4 = 1 THEN 'agent-aside_question-' || doc_id ELSE 's' || doc_id END AS session, doc_id % 4 = 1 AS aside, doc_id AS line_no FROM documents WHERE doc_id % 4 <> 2""")
+def session_paths(spark, sf):
+    n = F.col("doc_id").cast("string")
+    name = F.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("s1/subagents/agent-aside_question-"), n)).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("s1/subagents/agent-other-"), n)).otherwise(F.concat(F.lit("s"), n))
+    d = table(spark, sf, "documents").select(F.concat(F.lit("hdfs://host/root/"), "source", F.lit("/"), name, F.lit(".jsonl")).alias("path"), F.col("doc_id").alias("offset"), F.lit("x").alias("value"))
+    return sessions.session_lines(d).drop("value")
+
+
+@query(f"SELECT doc_id, {_uuid_sql('doc_id || chr(31) || lang || chr(31) || substr(text, 1, 20)')} AS id FROM documents")
+def stable_ids(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.stable_id("doc_id", "lang", F.substring("text", 1, 20)).alias("id"))
+
+
+_CUT = "substr(t, 1, coalesce(list_max(list_filter(range(0, 42), lambda k: strlen(substr(t, 1, k)) <= 41)), 0)::INTEGER)"
+
+
+@query(f"SELECT doc_id, {_CUT} AS cut, CASE WHEN strlen(t) <= 41 THEN t ELSE {_CUT} || '...' END AS shown FROM (SELECT doc_id, substr(text, doc_id % 7 + 1, 60) AS t FROM documents)")
+def byte_truncation(spark, sf):
+    t = table(spark, sf, "documents").select("doc_id", F.col("text").substr((F.col("doc_id") % 7 + 1).cast("int"), F.lit(60)).alias("t"))
+    return t.select("doc_id", X.truncate_bytes(spark, "t", 41).alias("cut"), X.preview(spark, "t", 41).alias("shown"))
+
+
+@query("SELECT vec_id, (len(embedding) * 4)::INTEGER AS bytes, list_transform(embedding, lambda x: round(x::DOUBLE, 5) + 0.0) AS vector FROM embeddings WHERE vec_id < 50")
+def blob_codec(spark, sf):
+    e = table(spark, sf, "embeddings").where("vec_id < 50").select("vec_id", V.to_blob(spark, F.col("embedding")).alias("blob"))
+    return e.select("vec_id", F.octet_length("blob").alias("bytes"), F.transform(V.from_blob(spark, F.col("blob")), lambda x: F.round(x.cast("double"), 5) + F.lit(0.0)).alias("vector"))
+
+
+@query("""SELECT doc_id, i AS index, CASE WHEN doc_id % 5 = 4 THEN 'keep' WHEN i = 0 THEN ['keep', 'drop', 'keep_as_project', 'keep'][(doc_id % 4 + 1)::INTEGER] WHEN i = 1 THEN 'merge' ELSE 'keep' END AS action,
+CASE WHEN doc_id % 5 <> 4 AND i = 1 THEN (doc_id % 9)::INTEGER END AS target, CASE WHEN doc_id % 5 = 4 THEN 'unparseable response' WHEN i = 0 THEN 'r' || doc_id WHEN i = 1 THEN NULL ELSE 'no decision' END AS reason
+FROM documents, (SELECT unnest(range(0, 3))::INTEGER AS i)""")
+def parse_curation(spark, sf):
+    """Plain, fenced, after thinking, in prose, or unreadable answers for three candidates; the first decision for one holds."""
+    n = F.col("doc_id").cast("string")
+    action = F.element_at(F.array(*map(F.lit, ("keep", "drop", "keep_as_project", "wait"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    items = F.concat(F.lit('[{"index": 0, "action": "'), action, F.lit('", "reason": "r'), n, F.lit('"}, {"index": 1, "action": "merge:'), (F.col("doc_id") % 9).cast("string"), F.lit('"}, {"index": 0, "action": "drop"}, {"index": 9, "action": "drop"}]'))
+    way = F.col("doc_id") % 5
+    answer = F.when(way == 0, items).when(way == 1, F.concat(F.lit("```json\n"), items, F.lit("\n```"))).when(way == 2, F.concat(F.lit("<think>[]</think>\n"), items)).when(way == 3, F.concat(F.lit("Decisions: "), items, F.lit(" as asked."))).otherwise("[{]")
+    d = table(spark, sf, "documents").select("doc_id", F.explode(decisions_column(spark, answer, F.lit(3))).alias("d"))
+    return d.select("doc_id", "d.index", "d.action", "d.target", "d.reason")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN 'fact ' || doc_id END AS content, CASE WHEN doc_id % 4 = 0 THEN 'habit' WHEN doc_id % 4 <> 3 THEN 'pattern' END AS category, CASE WHEN doc_id % 4 = 1 THEN 0.5::DOUBLE WHEN doc_id % 4 <> 3 THEN 0.8::DOUBLE END AS confidence, doc_id % 4 = 3 AS failed FROM documents""")
+def parse_synthesis(spark, sf):
+    n, way = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    one = lambda rest: F.concat(F.lit('{"content": "fact '), n, F.lit(f'"{rest}}}'))
+    answer = F.when(way == 0, one(', "category": "habit"')).when(way == 1, F.concat(F.lit("```\n"), one(', "confidence": 0.5'), F.lit("\n```"))).when(way == 2, F.concat(F.lit("Here: "), one(""), F.lit("!"))).otherwise("none")
+    d = table(spark, sf, "documents").select("doc_id", synthesis_column(spark, answer).alias("r"))
+    return d.select("doc_id", "r.content", "r.category", "r.confidence", F.col("r.error").isNotNull().alias("failed"))

@@ -61,16 +61,48 @@ def raw_lines(spark: SparkSession, files: DataFrame) -> DataFrame:
     """(project, session, aside, line_no, value) of the files; blank lines go.
 
     Large files are split among tasks; lines are numbered from 0 by the start of
-    their split and their place in it.  Byte offsets are the streaming source's business.
+    their split and their place in it.  Where ``files`` has a column offset, as
+    ``needs_processing`` gives it, only what follows that byte is read, and lines
+    are numbered from there; such files are read whole by a task each.
     """
-    paths = [r.path for r in files.select("path").toLocalIterator()]
-    if not paths:
+    resumes = "offset" in files.columns
+    paths: dict[bool, list[str]] = {True: [], False: []}
+    for r in files.select("path", (F.col("offset") > 0).alias("resumed") if resumes else F.lit(False).alias("resumed")).toLocalIterator():
+        paths[r.resumed].append(r.path)
+    named = files.select(_same("path").alias("p"), "project", "session", "aside", *(["offset"] if resumes else []))
+    parts = []
+    if paths[False]:
+        text = spark.read.text(paths[False]).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"), "value")
+        order = F.row_number().over(Window.partitionBy("path").orderBy("start", "place"))
+        numbered = text.withColumn("line_no", order.cast("long") - 1)
+        parts.append(numbered.join(named, _same("path") == F.col("p")))
+    if paths[True]:
+        whole = spark.read.format("binaryFile").load(paths[True]).select("path", "content").join(named, _same("path") == F.col("p"))
+        rest = F.split(F.expr("substring(content, cast(offset as int) + 1)").cast("string"), "\n")
+        parts.append(whole.select("project", "session", "aside", F.posexplode(rest).alias("line_no", "value")))
+    if not parts:
         return spark.createDataFrame([], "project string, session string, aside boolean, line_no long, value string")
-    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"), "value")
-    order = F.row_number().over(Window.partitionBy("path").orderBy("start", "place"))
-    numbered = text.withColumn("line_no", order.cast("long") - 1).where("trim(value) <> ''")
-    named = numbered.join(files.select(_same("path").alias("p"), "project", "session", "aside"), _same("path") == F.col("p"))
-    return named.select("project", "session", "aside", "line_no", F.regexp_replace("value", "\r$", "").alias("value"))
+    each = [p.where("trim(value) <> ''").select("project", "session", "aside", F.col("line_no").cast("long").alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value")) for p in parts]
+    return each[0] if len(each) == 1 else each[0].unionByName(each[1])
+
+
+def session_lines(lines: DataFrame) -> DataFrame:
+    """(project, session, aside, line_no, value) of lines (path, offset, value), by where their files lie.
+
+    Files are those that ``discover`` finds: <project>/<session>.jsonl, and asides
+    in <project>/<session>/subagents; of that folder other files are left out.
+    """
+    parts = F.split("path", "/")
+    inside = F.element_at(parts, -2) == "subagents"
+    aside = F.coalesce(inside & F.element_at(parts, -1).startswith("agent-aside_question"), F.lit(False))
+    return lines.where(~inside | aside).select(F.when(aside, F.element_at(parts, -4)).otherwise(F.element_at(parts, -2)).alias("project"), session_of("path").alias("session"), aside.alias("aside"), F.col("offset").alias("line_no"), "value")
+
+
+def read_ends(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """(key, mtime, offset) where reading ended: the end of the file, or the start of a last line that isn't JSON yet."""
+    last = lines.groupBy("session").agg(F.max_by("value", "line_no").alias("last"))
+    wanting = F.when(F.try_parse_json("last").isNull(), F.octet_length("last")).otherwise(0)
+    return files.join(last, "session", "left").select("key", F.col("mtime").cast("long").alias("mtime"), (F.col("size") - F.coalesce(wanting, F.lit(0))).alias("offset"))
 
 
 def _same(path: str):
@@ -81,7 +113,7 @@ def _same(path: str):
 def read_cursor(spark: SparkSession, text: str) -> DataFrame:
     """(key, mtime, offset) of a saved cursor: {key: [mtime, offset]} or {key: {mtime, offset}}, or, as once, {key: mtime}."""
     rows = []
-    for key, v in json.loads(text or "{}").items():
+    for key, v in json.loads(text.strip() or "{}").items():
         if isinstance(v, dict):
             rows.append((key, int(v.get("mtime", 0)), int(v.get("offset", v.get("byte_offset", 0)))))
         elif isinstance(v, list):
@@ -95,6 +127,26 @@ def save_cursor(cursor: DataFrame) -> str:
     return json.dumps({r.key: [r.mtime, r.offset] for r in cursor.orderBy("key").collect()})
 
 
+def load_cursor(spark: SparkSession, path: str) -> DataFrame:
+    """The cursor saved at a path of any of Hadoop's file systems; empty where there is none."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+    return read_cursor(spark, spark.read.text(path, wholetext=True).first().value if found else "")
+
+
+def store_cursor(spark: SparkSession, path: str, cursor: DataFrame) -> None:
+    """Saves the cursor in one rename, so that a reader sees the old one or the new one."""
+    text = save_cursor(cursor)
+    new, there = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path))
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(there, False)
+    if not fs.rename(new, there):
+        raise OSError(f"{path} can't be written")
+
+
 def needs_processing(files: DataFrame, cursor: DataFrame) -> DataFrame:
     """The files that are new, newer or longer than the cursor has them, with the offset to resume at."""
     c = cursor.select(F.col("key").alias("__key"), F.col("mtime").alias("__mtime"), "offset")

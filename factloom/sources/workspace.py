@@ -17,6 +17,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _CREATED: list[str] = []
+_WRITTEN: list[str] = []  # the tables of this process, oldest first
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -79,4 +80,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tables_written() -> int:
+    """How many written tables of this process there are."""
+    return len(_WRITTEN)
+
+
+def drop_tables(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Removes the written tables of this process, from the one numbered ``since`` on, but the last ``keep``.
+
+    For callers who have read or written their result, as nothing that still
+    depends on these tables can be read afterwards.
+    """
+    last = len(_WRITTEN) - keep
+    for path in _WRITTEN[since:last]:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    del _WRITTEN[since:last]

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.model import Factory
 from ..functions.text import session_of
-from ..operators.transcripts import min_turn_gate, record_turns
+from ..operators.transcripts import min_turn_gate
 from ..plans.jobs import reconcile_records
 from ..settings import Settings
+from ..sources.sessions import session_lines
 from ..sources.store import FactStore
 from ..sources.workspace import materialize, ship_package
 from .tail import TailSource
@@ -39,10 +40,10 @@ def start(spark: SparkSession, pattern: str, store: FactStore, checkpoint: str,
         # a file whose first new line isn't its first, and that didn't wait, has passed the gate before
         resumed = fresh.groupBy("path").agg(F.min("offset").alias("first")).where("first > 0").join(held, "path", "left_anti").select(session_of("path").alias("session"))
         every = materialize(fresh.unionByName(before), "lines")
-        records = every.select(F.element_at(F.split("path", "/"), -2).alias("project"), session_of("path").alias("session"), F.lit(False).alias("aside"), F.col("offset").alias("line_no"), "value")
+        records = session_lines(every)
         resumed = materialize(resumed, "resumed")
-        reconcile_records(records, store, factory, s, resumed=resumed)
-        passed = min_turn_gate(record_turns(records, s), s.min_human_turns, resumed).select("session").union(resumed).distinct()
+        turns = reconcile_records(records, store, factory, s, resumed=resumed).tables["turns"]
+        passed = min_turn_gate(turns, s.min_human_turns, resumed).select("session").union(resumed).distinct()
         short = every.withColumn("session", session_of("path")).join(passed, "session", "left_anti").select("path", "offset", "value")
         short.write.mode("overwrite").parquet(waiting(number))
         store._fs.create(done, True).close()

@@ -244,3 +244,67 @@ def test_recall_and_search(spark, tmp_path):
     assert jobs.recall(store, "likes tea", lambda: model, 1) == "- (project/fact) likes tea"
     assert jobs.recall(store, "x", lambda: model, scope="team") == "invalid scope: team"
     assert serve.search(store.read(), "cat").first().content == serve.search(store.read(), "has a cat", model).first().content
+
+
+def test_fold_matches_row_by_row_reading():
+    from datetime import datetime, timedelta
+
+    import numpy as np
+    import pandas as pd
+
+    from factloom.operators.reconcile import fold
+    from factloom.settings import Settings
+
+    s = Settings(duplicate_above=0.8, supersede_from=0.2, supersede_below=0.7)
+    rng = np.random.default_rng(3)
+    start = datetime(2024, 1, 1)
+
+    def rows(n, tag):
+        out = []
+        for k in range(n):
+            v = rng.integers(-2, 3, 4 if rng.random() < 0.9 else 3).astype(float)
+            scope = "personal" if rng.random() < 0.3 else "project"
+            out.append(dict(id=f"{tag}{k:03}", scope=scope, source_project=None if scope == "personal" else f"p{rng.integers(2)}", entity=rng.choice(["a", "b", None]), embedding=v.tolist(),
+                            created_at=start + timedelta(minutes=int(rng.integers(5))), superseded_by="x" if tag == "s" and rng.random() < 0.1 else None, seq=f"{k:03}", outcome="low_confidence" if rng.random() < 0.1 else None, lifecycle="accepted"))
+        return pd.DataFrame(out)
+
+    def cos(a, b):
+        a, b = np.array(a), np.array(b)
+        d = np.linalg.norm(a) * np.linalg.norm(b) if len(a) == len(b) else 0
+        return round(float(a @ b) / d, 12) if d else 0.0
+
+    for _ in range(20):
+        old, new = rows(30, "s"), rows(30, "n")
+        have = [dict(r._asdict(), live=True) for r in old[old["superseded_by"].isna()].itertuples()]
+        want = []
+        for r in (x._asdict() for x in new.itertuples()):
+            if isinstance(r["outcome"], str):
+                want.append((r["id"], r["outcome"], None, []))
+                continue
+            own = lambda x: isinstance(r["source_project"], str) and x["source_project"] == r["source_project"]  # noqa: B023, E731
+            may = sorted((-cos(x["embedding"], r["embedding"]), x["id"]) for x in have if x["live"] and (x["scope"] == "personal" or r["scope"] == "project" and own(x)))
+            if may and -may[0][0] > s.duplicate_above:
+                want.append((r["id"], "duplicate", may[0][1], []))
+                continue
+            band = [x for x in have if x["live"] and own(x) and isinstance(r["entity"], str) and x["entity"] == r["entity"] and s.supersede_from <= cos(x["embedding"], r["embedding"]) < s.supersede_below]
+            band.sort(key=lambda x: (-x["created_at"].timestamp(), x["id"]))
+            for x in band:
+                x["live"] = False
+            have.append(dict(r, live=True))
+            want.append((r["id"], "accepted", band[0]["id"] if band else None, [x["id"] for x in band]))
+        got = fold(new, old, s)
+        assert [(r.id, r.outcome, r.ref_id if isinstance(r.ref_id, str) else None, list(r.superseded)) for r in got.itertuples()] == want
+
+
+def test_written_tables_are_dropped(spark):
+    from factloom.sources.workspace import drop_tables, materialize, tables_written
+
+    before = tables_written()
+    one, two, three = (materialize(spark.range(k), f"t{k}") for k in (1, 2, 3))
+    drop_tables(spark, before, keep=1)
+    assert tables_written() == before + 1 and three.count() == 3
+    drop_tables(spark, before)
+    assert tables_written() == before
+    for gone in (one, two, three):
+        with pytest.raises(Exception, match="(?i)not.?exist"):
+            gone.count()

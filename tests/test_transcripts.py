@@ -188,6 +188,106 @@ def test_reconcile_depths(spark, tree, tmp_path):
     assert again.counts["known"] == 7 and again.counts["incoming"] == 1 and store.version() == 1
 
 
+def recording(folder):
+    """A factory of models that leave each extraction prompt in a folder."""
+    import uuid
+
+    class Recording(StubModel):
+        def generate(self, prompt, max_tokens):
+            if "CANDIDATES" not in prompt:
+                (folder / uuid.uuid4().hex).write_text(prompt)
+            return super().generate(prompt, max_tokens)
+
+    return lambda: Recording(16)
+
+
+def test_job_resumes_where_it_ended(spark, tree, tmp_path):
+    store, cursor = FactStore(spark, f"file://{tmp_path}/store"), f"file://{tmp_path}/cursor.json"
+    asked = tmp_path / "asked"
+
+    def run(**more):
+        asked.mkdir()
+        counts = jobs.reconcile_job(spark, tree, store, recording(asked), S, cursor=cursor, **more).counts
+        prompts_ = [p.read_text() for p in asked.iterdir()]
+        for p in asked.iterdir():
+            p.unlink()
+        asked.rmdir()
+        return counts, prompts_
+
+    assert len(run(depth="extract")[1]) == 3 and not os.path.exists(tmp_path / "cursor.json")
+    counts, prompts_ = run()
+    assert (counts["files"], counts["skipped_by_cursor"], counts["skipped_short"]) == (4, 0, 1) and len(prompts_) == 3
+    version = store.version()
+    counts, prompts_ = run()
+    # the short session and the one that ends in a broken line are looked at again, but nothing is asked
+    assert prompts_ == [] and counts["skipped_by_cursor"] == 2 and store.version() == version
+    with open(f"{tree}/-home-a/s1.jsonl", "a") as f:
+        f.write(user("I prefer green tea") + "\n" + '{"type": "user", "message": {"content": "I pre')
+    with open(f"{tree}/-home-a/s2.jsonl", "a") as f:
+        f.write(user("I prefer the third way") + "\n" + user("and no other") + "\n")
+    counts, prompts_ = run()
+    one, two = sorted(prompts_, key=lambda x: "third way" in x)
+    assert "green tea" in one and "option" not in one and "I pre\n" not in one and "option 0" in two and "third way" in two
+    with open(f"{tree}/-home-a/s1.jsonl", "a") as f:
+        f.write('fer black coffee"}}\n')
+    counts, prompts_ = run()
+    assert len(prompts_) == 1 and "black coffee" in prompts_[0] and "green tea" not in prompts_[0] and counts["skipped_by_cursor"] == 2
+
+
+def test_lines_from_an_offset_on(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    raw = "é one\r\n\ntwo\nthree".encode()
+    (tmp_path / "p" / "s.jsonl").write_bytes(raw)
+    files = sessions.discover(spark, str(tmp_path))
+    for at, want in ((0, ["é one", "two", "three"]), (8, ["two", "three"]), (raw.index(b"three"), ["three"]), (len(raw), [])):
+        got = sessions.raw_lines(spark, files.withColumn("offset", F.lit(at).cast("long")))
+        assert [r.value for r in got.orderBy("line_no").collect()] == want
+
+
+def test_code_blocks_match_a_line_by_line_reading(spark):
+    import random
+
+    def slow(text, most):
+        out, inside, lang, code = "", False, "", []
+        lines = [] if text == "" else re.split(r"\r?\n", re.sub(r"\r?\n\Z", "", text))
+        for line in lines:
+            if line.startswith("```"):
+                if inside:
+                    out += f"[code block: {lang or 'code'}, {len(code)} lines]\n" if len(code) > most else "".join(f"{x}\n" for x in [f"```{lang}", *code, "```"])
+                    inside = False
+                else:
+                    inside, lang, code = True, line.lstrip("`"), []
+            elif inside:
+                code.append(line)
+            else:
+                out += line + "\n"
+        if inside and code:
+            out += f"[code block: {lang or 'code'}, {len(code)} lines]\n" if len(code) > most else "".join(f"{x}\n" for x in [f"```{lang}", *code])
+        return out
+
+    import re
+
+    rng = random.Random(4)
+    texts = ["\n".join(rng.choice(("```", "```py", "````x", "a", " ```", "b ``` c", "", "é")) for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: r.x for r in df.select("k", tr.shorten_code(F.col("t"), 2).alias("x")).collect()}
+    for k, t in enumerate(texts):
+        if not re.search(r"\n{2,}\Z", t):
+            assert got[k] == slow(t, 2), repr(t)
+
+
+def test_asides_of_a_stream(spark, tree, tmp_path):
+    store = FactStore(spark, f"file://{tmp_path}/store")
+    ingest.start(spark, f"file://{tree}/-home-a/s1/subagents/*.jsonl", store, f"{tmp_path}/check", lambda: StubModel(16), S).awaitTermination()
+    # of an aside only what was asked last counts, and other agents' files don't
+    assert store.read().count() == 0
+    with open(f"{tree}/-home-a/s1/subagents/agent-aside_question-1.jsonl", "a") as f:
+        f.write(user("I prefer green tea") + "\n" + assistant(text("fine")) + "\n")
+    ingest.start(spark, f"file://{tree}/-home-a/s1/subagents/*.jsonl", store, f"{tmp_path}/check", lambda: StubModel(16), S).awaitTermination()
+    rows = store.read().collect()
+    assert [(r.source_session, "green tea" in r.content) for r in rows] == [("agent-aside_question-1", True)]
+
+
 def test_dead_letters(spark, tree, tmp_path):
     store = FactStore(spark, f"file://{tmp_path}/store")
     report = jobs.reconcile_job(spark, tree, store, lambda: StubModel(16, {"option 3": "I can't say"}), S, depth="extract")
