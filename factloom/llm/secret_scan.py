@@ -115,6 +115,7 @@ def train(samples: list[tuple[str, int]], smoothing: float = 0.05) -> np.ndarray
 
     Trigram counts back off to bigram and unigram ones, so an unseen context
     isn't decisive.  Samples with characters outside the alphabet are cut there.
+    Values are multiples of 2**-20, so that sums of them are exact in any order.
     """
     logs = []
     for label in (1, 0):
@@ -131,7 +132,7 @@ def train(samples: list[tuple[str, int]], smoothing: float = 0.05) -> np.ndarray
         p2 = (two + 4 * p1) / (two.sum(-1, keepdims=True) + 4)
         p3 = (three + 4 * p2) / (three.sum(-1, keepdims=True) + 4)
         logs.append(np.log(p3))
-    return logs[0] - logs[1]
+    return np.round((logs[0] - logs[1]) * 2.0**20) / 2.0**20
 
 
 def score_text(table: np.ndarray, token: str) -> float:

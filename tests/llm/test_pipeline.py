@@ -6,6 +6,7 @@ import pytest
 
 from tests.test_queries import SF, compare, duck  # noqa: F401 - a fixture
 
+from factloom.llm.line_dedup import MIN_DOCS
 from factloom.llm.packing import CAPACITY, best_fit
 
 from .helpers import SCHEMA, awkward, empty, prose, shingles
@@ -107,7 +108,7 @@ def test_stages_equal_brute_force(spark, planted):
     stage = dict(corpus_pipeline.STAGES)
     before = texts(docs)
     deduped = stage["line dedup"](spark, docs, folder)
-    assert texts(deduped) == brute_lines(list(before.items()), 20)
+    assert texts(deduped) == brute_lines(list(before.items()), MIN_DOCS)
     single = stage["MinHash near-dedup"](spark, docs, folder)
     groups, _ = groups_of(list(before.items()))
     assert set(texts(single)) == {d for d in before if groups.get(d, d) == d}
