@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from ..sources.workspace import map_arrow, materialize
 from . import _kernels as K
+from .line_dedup import fresh
 from .near_dup import signatures
 
 #: Features are named by so many bits of a hash: enough that words of a web corpus don't share a name.
@@ -128,12 +129,33 @@ def _sub(ids: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray,
     return ids[np.repeat(at[rows] - new[:-1], size) + np.arange(new[-1])], new
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def risk(sp: np.ndarray, su: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """(risk, its slopes) at the scores of positive and of unlabelled rows.
+
+    The non-negative risk at ``prior``; with 0, that of the plain discriminator of
+    positives against unlabelled rows, each side of equal weight.
+    """
+    # d/ds of log(1 + e^-s) is sigmoid(s) - 1; of log(1 + e^s) it is sigmoid(s)
+    gp_pos, gp_neg, gu = (_sigmoid(sp) - 1) / len(sp), _sigmoid(sp) / len(sp), _sigmoid(su) / len(su)
+    positive, negative = np.logaddexp(0, -sp).mean(), np.logaddexp(0, su).mean()
+    if not prior:
+        return positive + negative, gp_pos, gu
+    negative -= prior * np.logaddexp(0, sp).mean()
+    # max(0, .) has no slope where the estimated negative risk is below 0
+    if negative >= 0:
+        return prior * positive + negative, prior * gp_pos - prior * gp_neg, gu
+    return prior * positive, prior * gp_pos, 0 * gu
+
+
 def train(ids: np.ndarray, at: np.ndarray, positive: np.ndarray, ratio: np.ndarray, prior: float, epochs: int = 30, rate: float = 0.03, seed: int = 7) -> tuple[np.ndarray, float]:
-    """(weights, bias) that minimise the non-negative risk at ``prior``.
+    """(weights, bias) that minimise the ``risk`` at ``prior``.
 
     Rows are CSR: the places of their features among ``ratio``, from which the
-    weights start.  With ``prior`` 0 it trains the plain discriminator of positives
-    against unlabelled rows, each side of equal weight.
+    weights start and to which they are drawn.
     """
     dim, w, b = len(ratio), ratio.copy(), 0.0
     m, v, mb, vb, step = np.zeros(dim), np.zeros(dim), 0.0, 0.0, 0
@@ -142,7 +164,6 @@ def train(ids: np.ndarray, at: np.ndarray, positive: np.ndarray, ratio: np.ndarr
     p_rows, u_rows = np.flatnonzero(positive), np.flatnonzero(~positive)
     if not len(p_rows) or not len(u_rows):
         return w, b
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     batches = max(1, len(u_rows) // 2000)
     for _ in range(epochs):
         for ps, us in zip(np.array_split(rng.permutation(p_rows), batches), np.array_split(rng.permutation(u_rows), batches)):
@@ -150,15 +171,7 @@ def train(ids: np.ndarray, at: np.ndarray, positive: np.ndarray, ratio: np.ndarr
                 continue
             pi_, pa_ = _sub(ids, at, ps)
             ui_, ua_ = _sub(ids, at, us)
-            sp, su = _sum(w[pi_], pa_) + b, _sum(w[ui_], ua_) + b
-            # d/ds of log(1 + e^-s) is sigmoid(s) - 1; of log(1 + e^s) it is sigmoid(s)
-            gp_pos, gp_neg, gu = (sigmoid(sp) - 1) / len(ps), sigmoid(sp) / len(ps), sigmoid(su) / len(us)
-            if prior:
-                negative = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
-                # max(0, .) has no slope where the estimated negative risk is below 0
-                gp, gv = (prior * gp_pos - prior * gp_neg, gu) if negative >= 0 else (prior * gp_pos, 0 * gu)
-            else:
-                gp, gv = gp_pos, gu
+            _, gp, gv = risk(_sum(w[pi_], pa_) + b, _sum(w[ui_], ua_) + b, prior)
             grad = np.bincount(pi_, np.repeat(gp, np.diff(pa_)), dim) + np.bincount(ui_, np.repeat(gv, np.diff(ua_)), dim) + 1e-3 * (w - ratio)
             gb = gp.sum() + gv.sum()
             step += 1
@@ -367,8 +380,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_positives: int = 10_000, max_unl
 def keep_good(docs: DataFrame, labels: DataFrame, with_score: bool = False, **params) -> DataFrame:
     """The documents that the classifier keeps, all columns as they are.
 
-    With ``with_score``, __score is appended: the log-odds, positive for kept
-    ones.  Null and empty texts have the score of a text without words.  Rows are
+    With ``with_score``, __score is appended (behind underscores, where docs has a
+    column of that name): the log-odds, 0 or more for kept ones.  ``params`` are those of ``fit``.  Null and empty texts have the score of a text without words.  Rows are
     judged one by one, so those that repeat a doc_id are kept or dropped by their
     own text; a null doc_id doesn't matter.  Labels may repeat a doc_id: it is
     trusted if all its rows are good.  Nulls count as quality 0 and toxic 0.
@@ -377,10 +390,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, with_score: bool = False, **pa
     """
     spark = docs.sparkSession
     model, prior = fit(docs, labels, **params)
+    names = docs.columns
+    score_name = fresh("__score", names)
     if not model.w.any():
-        return docs.withColumn("__score", F.lit(0.0)) if with_score else docs
+        return docs.withColumn(score_name, F.lit(0.0)) if with_score else docs
     sent = spark.sparkContext.broadcast(model)
-    names = docs.columns
     at = names.index("text")
 
     def run(batches):
@@ -390,7 +404,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, with_score: bool = False, **pa
             columns = [c.take(take) for c in batch.columns]
             if with_score:
                 columns.append(pa.array(score).take(take))
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "__score"] if with_score else names)
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, score_name] if with_score else names)
 
     fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]
-    return map_arrow(docs, run, T.StructType([*fields, T.StructField("__score", T.DoubleType())] if with_score else fields))
+    return map_arrow(docs, run, T.StructType([*fields, T.StructField(score_name, T.DoubleType())] if with_score else fields))

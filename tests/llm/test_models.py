@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import _kernels as K
 from factloom.llm import html_templates, pu_quality, secret_scan, token_counts
@@ -81,6 +82,10 @@ def test_classifier_awkward(spark, labelled):
     assert keep_good(empty(spark), labels).count() == 0
     model = labelled[1]
     assert keep_good(docs, model, with_score=True).columns == [*docs.columns, "__score"]
+    named = docs.withColumn("__score", F.lit(7))
+    for given in (model, labels.limit(0)):
+        scored = keep_good(named, given, with_score=True)
+        assert scored.columns == [*named.columns, "___score"] and {r["__score"] for r in scored.collect()} <= {7}
 
 
 @pytest.mark.parametrize("limit", [10**6, 0])
@@ -95,6 +100,48 @@ def test_rare_bad_words_of_all_documents_count(spark, limit):
     assert model.scores(pa.array(["w1 w2 w3 rareinsult"]))[0] < model.scores(pa.array(["w1 w2 w3"]))[0] - 1
 
 
+def brute_risk(sp, su, prior):
+    """The non-negative unbiased risk, term by term."""
+    import math
+
+    r_p = sum(math.log1p(math.exp(-x)) for x in sp) / len(sp)
+    r_u, r_n = (sum(math.log1p(math.exp(x)) for x in s) / len(s) for s in (su, sp))
+    return prior * r_p + max(0.0, r_u - prior * r_n) if prior else r_p + r_u
+
+
+@pytest.mark.parametrize("prior", [0.0, 0.3, 0.9, 0.999])
+def test_risk_and_its_slopes(prior):
+    rng = np.random.default_rng(4)
+    for shift in (-3, 0, 3):
+        sp, su = rng.normal(shift, 2, 30), rng.normal(shift - 1, 2, 50)
+        value, gp, gu = pu_quality.risk(sp, su, prior)
+        assert abs(value - brute_risk(sp, su, prior)) < 1e-9
+        for scores, slopes, of in ((sp, gp, lambda x: brute_risk(x, su, prior)), (su, gu, lambda x: brute_risk(sp, x, prior))):
+            for k in range(0, len(scores), 7):
+                up, down = scores.copy(), scores.copy()
+                up[k] += 1e-5
+                down[k] -= 1e-5
+                assert abs((of(up) - of(down)) / 2e-5 - slopes[k]) < 1e-6
+
+
+def test_training_lowers_the_risk_and_the_errors_of_its_start():
+    """Bad rows hold two of ten bad features; half of the good ones hold one by chance."""
+    rng = np.random.default_rng(6)
+    n_p, n_u = 1000, 4000
+    bad = np.concatenate([np.zeros(n_p, bool), rng.random(n_u) < 0.3])
+    rows = [rng.choice(10, 2, replace=False) if b else rng.choice(10, int(rng.random() < 0.5)) for b in bad]
+    ids, at = np.concatenate(rows).astype(np.int64), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    positive = np.arange(n_p + n_u) < n_p
+    has = lambda mask: np.bincount(np.concatenate([r for r, m in zip(rows, mask) if m]).astype(int), minlength=10) / mask.sum()
+    ratio = np.log(has(positive) / has(~positive))
+    w, b = pu_quality.train(ids, at, positive, ratio, 0.7)
+    score = lambda w, b: pu_quality._sum(w[ids], at) + b
+    of = lambda s: brute_risk(s[positive], s[~positive], 0.7)
+    wrong = lambda s: ((s >= 0) == bad)[~positive].mean()
+    assert of(score(w, b)) < of(score(ratio, 0.0)) - 0.05
+    assert wrong(score(w, b)) < 0.5 * wrong(score(ratio, 0.0))
+
+
 # secret scan
 
 
