@@ -31,19 +31,47 @@ class Model(Protocol):
     def dim(self) -> int: ...
 
 
+def render_chat(messages: list[tuple[str, str]], turn: str = "<|im_start|>{role}\n{content}<|im_end|>\n", answer: str = "<|im_start|>assistant\n") -> str:
+    """Messages as one prompt by a chat template: a turn for each, and the beginning of the answer's."""
+    return "".join(turn.format(role=role, content=content) for role, content in messages) + answer
+
+
+class BaseModel:
+    """What a model that only completes prompts and embeds single texts needs besides: ``generate``, ``embed_one`` and ``dim``."""
+
+    #: The turns' template, or None where a model has none.
+    turn: str | None = None
+    answer = ""
+
+    def chat(self, messages: list[tuple[str, str]], max_tokens: int) -> str:
+        """By the template; without one, the system message and the last of the user."""
+        if self.turn is not None:
+            return self.generate(render_chat(messages, self.turn, self.answer), max_tokens)
+        of = lambda role, order: next((c for r, c in order if r == role), "")
+        return self.generate(f"{of('system', messages)}\n\n{of('user', messages[::-1])}", max_tokens)
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [self.embed_one(t) for t in texts]
+
+
 class StubModel:
-    """Hashed bags of words as embeddings; "I prefer ..." sentences as extractions."""
+    """Hashed bags of words as embeddings; "I prefer ..." sentences as extractions.
+
+    ``answers`` has answers by what a prompt holds; with ``in_last``, by what it
+    holds inside the conversation.
+    """
 
-    def __init__(self, dim: int = 64, answers: dict[str, str] | None = None):
-        self._dim, self.answers = dim, answers or {}
+    def __init__(self, dim: int = 64, answers: dict[str, str] | None = None, in_last: bool = False):
+        self._dim, self.answers, self.in_last = dim, answers or {}, in_last
 
     @property
     def dim(self) -> int:
         return self._dim
 
     def generate(self, prompt: str, max_tokens: int) -> str:
+        where = prompt.rsplit("<conversation>", 1)[-1].removesuffix("</conversation>") if self.in_last else prompt
         for needle, answer in self.answers.items():
-            if needle in prompt:
+            if needle in where:
                 return answer
         if "CANDIDATES" in prompt:
             return "[]"

@@ -665,6 +665,80 @@ def cursor_marked(spark, sf):
     return sessions.mark_processed(f.where(n % 3 != 1).select("key", "mtime", F.lit(7).cast("long").alias("offset")), f.where(on).select("key", (F.col("mtime") + 5).alias("mtime"), F.lit(9).cast("long").alias("offset")))
 
 
+def _write_sessions(spark, sf) -> str:
+    """The first conversations as transcript files of three projects, every fifth an aside; their folder."""
+    root = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    rows = _json_lines(spark, sf).where("session < 40").groupBy("session").agg(F.sort_array(F.collect_list(F.struct("line_no", "value"))).alias("lines")).collect()
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in rows:
+        k = int(r.session)
+        name = f"p{k % 3}/s0/subagents/agent-aside_question-{k}.jsonl" if k % 5 == 0 else f"p{k % 3}/{k}.jsonl"
+        out = fs.create(path(f"{root}/{name}"), True)
+        out.write(bytearray("".join(x.value + "\n" for x in r.lines).encode()))
+        out.close()
+    for other in ("p0/notes.txt", "p1/s0/subagents/agent-other.jsonl"):
+        fs.create(path(f"{root}/{other}"), True).close()
+    return root
+
+
+_FROM_FILES = f"""{TURNS_SQL}, f AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS line_no FROM conversations WHERE conv_id < 40),
+g AS (SELECT 'p' || (conv_id % 3) AS project, CASE WHEN conv_id % 5 = 0 THEN 'agent-aside_question-' || conv_id ELSE conv_id::VARCHAR END AS session, conv_id % 5 = 0 AS aside, line_no, role, text FROM f)"""
+
+
+@query(f"WITH {_FROM_FILES} SELECT project, session, aside, count(*) AS lines FROM g WHERE project <> 'p2' GROUP BY ALL")
+def discovered_lines(spark, sf):
+    files = sessions.discover(spark, _write_sessions(spark, sf), exclude=["p2"])
+    return sessions.raw_lines(spark, files).groupBy("project", "session", "aside").agg(F.count("*").alias("lines"))
+
+
+@query(f"WITH {_FROM_FILES} SELECT project, session, aside, line_no, CASE role WHEN 'user' THEN 'Human' ELSE 'Assistant' END AS role, CASE WHEN role = 'assistant' AND NOT ends_with(text, chr(10)) THEN text || chr(10) ELSE text END AS text FROM g WHERE role IN ('user', 'assistant') AND text <> ''")
+def turns_from_files(spark, sf):
+    return tr.record_turns(sessions.raw_lines(spark, sessions.discover(spark, _write_sessions(spark, sf))), TEST)
+
+
+@query(f"WITH {_FROM_FILES} SELECT session, line_no - 2 AS line_no, CASE role WHEN 'user' THEN 'Human' ELSE 'Assistant' END AS role, CASE WHEN role = 'assistant' AND NOT ends_with(text, chr(10)) THEN text || chr(10) ELSE text END AS text FROM g WHERE line_no >= 2 AND role IN ('user', 'assistant') AND text <> ''")
+def turns_after_an_offset(spark, sf):
+    """Each file from the byte at which its third line begins."""
+    files = sessions.discover(spark, _write_sessions(spark, sf))
+    ends = sessions.raw_lines(spark, files).where("line_no < 2").groupBy("session").agg(F.sum(F.octet_length("value") + 1).cast("long").alias("offset"))
+    return tr.record_turns(sessions.raw_lines(spark, files.join(ends, "session")), TEST).select("session", "line_no", "role", "text")
+
+
+def _one_chunk_each(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("session"), F.col("source").alias("project"), F.lit(0).alias("chunk_index"), F.substring("text", 1, 200).alias("text"))
+
+
+@query("SELECT doc_id::VARCHAR AS session, source AS project, 0 AS chunk_index, 'no idea' AS answer FROM documents WHERE contains(substr(text, 1, 200), 'the')")
+def dead_letters(spark, sf):
+    _, dead = jobs.extract(_one_chunk_each(spark, sf), lambda: StubModel(16, {"the": "no idea"}, in_last=True))
+    return dead.select("session", "project", "chunk_index", "answer")
+
+
+@query("""SELECT doc_id::VARCHAR AS session, i::INTEGER AS index, CASE WHEN i = 1 THEN 'project' ELSE 'personal' END AS scope FROM documents, range(0, 3) r(i) WHERE i > 0""")
+def curated_batches(spark, sf):
+    """Three candidates a document, of which the model drops the first and makes the second one of the project."""
+    c = _one_chunk_each(spark, sf).select("session", "project", "chunk_index", F.col("text").alias("source"), F.explode(F.array(*map(F.lit, range(3)))).alias("index"), F.lit("personal").alias("scope"), F.lit("fact").alias("category"), F.lit("x").alias("content"), F.lit(0.9).alias("confidence"))
+    answer = '[{"index": 0, "action": "drop"}, {"index": 1, "action": "keep_as_project"}]'
+    return jobs.curate_candidates(c, lambda: StubModel(16, {"CANDIDATES": answer}), TEST).select("session", "index", "scope")
+
+
+@query(
+    f"WITH {{facts}}, t AS (SELECT *, {_SCORE} AS s FROM facts WHERE lifecycle = 'accepted' AND scope = 'project' ORDER BY s DESC, id LIMIT 5) "
+    "SELECT coalesce(string_agg('- (' || scope || '/' || category || coalesce(' [' || entity || ']', '') || ') ' || content, chr(10) ORDER BY s DESC, id), 'Nothing relevant is known.') AS text FROM t WHERE superseded_by IS NULL"
+)
+def recall_tool(spark, sf):
+    """The request as a caller makes it: text, limit and scope, with a model that embeds every text alike."""
+    vector = list(probe(spark, sf))
+
+    class Fixed(StubModel):
+        def embed(self, texts):
+            return [vector for _ in texts]
+
+    return spark.createDataFrame([(jobs.recall(_store(spark, sf), "anything", lambda: Fixed(64), 5, "Project"),)], "text string")
+
+
 @query("""SELECT source AS project, CASE WHEN doc_id % 4 = 1 THEN 'agent-aside_question-' || doc_id ELSE 's' || doc_id END AS session, doc_id % 4 = 1 AS aside, doc_id AS line_no FROM documents WHERE doc_id % 4 <> 2""")
 def session_paths(spark, sf):
     n = F.col("doc_id").cast("string")

@@ -308,3 +308,26 @@ def test_written_tables_are_dropped(spark):
     for gone in (one, two, three):
         with pytest.raises(Exception, match="(?i)not.?exist"):
             gone.count()
+
+
+def test_base_model_and_chat_template():
+    from factloom.functions.model import BaseModel, render_chat
+
+    class Echo(BaseModel):
+        dim = 1
+
+        def generate(self, prompt, max_tokens):
+            return prompt
+
+        def embed_one(self, text):
+            return [float(len(text))]
+
+    talk = [("system", "be brief"), ("user", "one"), ("assistant", "1"), ("user", "two")]
+    assert Echo().chat(talk, 9) == "be brief\n\ntwo" and Echo().chat([("user", "x")], 9) == "\n\nx"
+    assert Echo().embed(["a", "bcd"]) == [[1.0], [3.0]]
+    assert render_chat(talk[:2]) == "<|im_start|>system\nbe brief<|im_end|>\n<|im_start|>user\none<|im_end|>\n<|im_start|>assistant\n"
+
+    class Templated(Echo):
+        turn, answer = "[{role}]{content};", "[assistant]"
+
+    assert Templated().chat(talk, 9) == "[system]be brief;[user]one;[assistant]1;[user]two;[assistant]"
