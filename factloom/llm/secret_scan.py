@@ -1,7 +1,9 @@
 """Secret scans by character Markov models.
 
 Candidate tokens are maximal runs of letters, digits, ``_ - + /`` of at least
-``min_length`` characters.  Two second-order Markov models over these characters
+``min_length`` characters.  All else ends a token, ``=`` and ``.`` too, so what
+follows a name and a sign is a token of its own, and so is each part of a dotted
+one.  Two second-order Markov models over these characters
 are trained from labelled samples, one on random strings (keys, hashes, tokens)
 and one on ordinary identifiers and words.  A token is a secret when the log of
 its likelihood ratio exceeds ``threshold``, the log prior odds against secrets.
