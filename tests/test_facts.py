@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from factloom.functions.model import StubModel
 from factloom.functions.text import preview, stable_id, text_lines, truncate_bytes
 from factloom.functions.vectors import cosine, from_blob, l2_normalize, to_blob
-from factloom.operators import reconcile, serve, settle
+from factloom.operators import reconcile, serve, settle, similarity
 from factloom.operators.components import connected_components
 from factloom.operators.similarity import similar_pairs
 from factloom.plans import jobs
@@ -109,6 +109,45 @@ def test_duplicates_are_scoped(spark):
     assert outcomes(reconcile.reconcile_ordered(without, store, S)) == {k: v for k, v in want.items() if k != "n6"}
 
 
+def unit_rows(v):
+    v = v.astype(float)
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, n, out=np.zeros(v.shape), where=n > 0)
+
+
+def test_best_match_of_a_hot_project(spark, monkeypatch):
+    """Many blocks of one project, small projects, repeated vectors and other lengths, against every pair."""
+    monkeypatch.setattr(similarity, "ROWS", 16, raising=False)
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(240):
+        v = np.float32(rng.normal(size=6 if k % 10 else 4))
+        rows.append({"id": f"r{k:03}", "embedding": rows[k - 7]["embedding"] if k % 9 == 8 else v.tolist(), "scope": "personal" if k % 6 == 1 else "project", "source_project": "hot" if k % 4 else f"p{k % 3}"})
+    new, old = rows[::2] + [{"id": "zero", "embedding": [0.0] * 6, "source_project": "hot"}], rows[1::2]
+    got = {r.id: (r.match_id, round(r.score, 9)) for r in reconcile.best_match(incoming(spark, new), facts(spark, old)).collect()}
+    want = {}
+    for a in new:
+        scores = {}
+        for b in old:
+            if b["scope"] == "personal" or a.get("scope", "project") == "project" and a["source_project"] == b["source_project"]:
+                x, y = (unit_rows(np.array([r["embedding"]], np.float32))[0] for r in (a, b))
+                scores[b["id"]] = round(float(x @ y), 12) if len(x) == len(y) else 0.0
+        best = min(scores, key=lambda i: (-scores[i], i))
+        want[a["id"]] = best, round(scores[best], 9)
+    assert got == want
+
+
+def test_a_hot_key_is_the_work_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "ROWS", 16, raising=False)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(200).select(F.col("id").cast("string").alias("id"), F.array(F.rand(1).cast("float"), F.rand(2).cast("float")).alias("embedding"), F.lit("hot").alias("k"))
+        per_task = similarity.nearest(rows, rows).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(per_task) == 4 and max(r["count"] for r in per_task) < 0.5 * sum(r["count"] for r in per_task)
+
+
 def test_supersession_band(spark):
     store = facts(spark, [{"id": "old", "entity": "editor"}])
     new = incoming(spark, [{"id": "n", "entity": "editor", "embedding": [0.78, 0.6258]}])
