@@ -137,6 +137,12 @@ def test_best_match_of_a_hot_project(spark, monkeypatch):
     assert got == want
 
 
+def test_scores_equal_to_twelve_places_tie(spark):
+    store = facts(spark, [{"id": i, "embedding": v, "scope": s} for s in ("personal", "project") for i, v in ((f"{s}-a", [1.0, 1e-7]), (f"{s}-z", [1.0, 0.0]))])
+    new = incoming(spark, [{"id": "n1", "source_project": "beta"}, {"id": "n2", "scope": "personal"}])
+    assert {(r.id, r.match_id, r.score) for r in reconcile.best_match(new, store).collect()} == {("n1", "personal-a", 1.0), ("n2", "personal-a", 1.0)}
+
+
 def test_a_hot_key_is_the_work_of_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(similarity, "ROWS", 16, raising=False)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
