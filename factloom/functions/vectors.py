@@ -21,19 +21,6 @@ def cosine(a, b) -> Column:
     return F.when((F.size(a) > 0) & (F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms).otherwise(F.lit(0.0))
 
 
-def unit(v) -> Column:
-    """The vector over its norm in DOUBLE, made once a row; zeros stay zeros."""
-    v = F.col(v) if isinstance(v, str) else v
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
-
-
-def unit_cosine(a, b) -> Column:
-    """``cosine`` of two columns of ``unit``: one product a pair."""
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    return F.when(F.size(a) == F.size(b), dot(a, b)).otherwise(F.lit(0.0))
-
-
 def l2_normalize(v) -> Column:
     """The vector over its norm; a zero vector stays as it is."""
     v = F.col(v) if isinstance(v, str) else v

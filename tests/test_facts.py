@@ -164,6 +164,32 @@ def test_supersession_band(spark):
     assert rows.supersedes == "old" and rows.lifecycle == "accepted"
 
 
+def test_supersession_of_a_hot_entity(spark, monkeypatch):
+    """Many blocks of one entity and project: the pairs, the latest and the number of each row, and the tasks that do the work."""
+    monkeypatch.setattr(similarity, "ROWS", 16, raising=False)
+    rng = np.random.default_rng(6)
+    v = np.float32(rng.normal(size=(240, 6)))
+    rows = [{"id": f"r{k:03}", "embedding": x.tolist(), "at": 1_700_000_000 + k % 7, "entity": "e" if k % 8 else None, "source_project": "hot" if k % 5 else "cold"} for k, x in enumerate(v)]
+    new, old = incoming(spark, rows[::2]), facts(spark, rows[1::2])
+    s = Settings(duplicate_above=2.0, supersede_from=0.2, supersede_below=0.6)
+    c, want, ends = unit_rows(v) @ unit_rows(v).T, {}, {}
+    for i in range(0, 240, 2):
+        hits = [j for j in range(1, 240, 2) if 0.2 <= c[i, j] < 0.6 and rows[i]["entity"] == rows[j]["entity"] == "e" and rows[i]["source_project"] == rows[j]["source_project"]]
+        want |= {(f"r{i:03}", f"r{j:03}"): 1_700_000_000 + j % 7 for j in hits}
+        ends[f"r{i:03}"] = (f"r{min(hits, key=lambda j: (-(j % 7), j)):03}" if hits else None, len(hits))
+    assert {r.id: (r.ref_id, r.n_superseded) for r in reconcile.reconcile_snapshot(new, old, s).collect()} == ends
+    off = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, x in off.items():
+        spark.conf.set(k, x)
+    try:
+        found = reconcile.supersession_pairs(new, old, s).select("id", "old_id", F.unix_seconds("created_at").alias("at"), F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k in off:
+            spark.conf.unset(k)
+    assert {(r.id, r.old_id): r.at for r in found} == want and len(found) == len(want)
+    assert max(sum(r.task == t for r in found) for t in range(4)) < 0.6 * len(found)
+
+
 def test_ordered_sees_its_predecessors(spark):
     new = incoming(spark, [{"id": "n1", "confidence": 0.7}, {"id": "n2", "confidence": 0.7}])
     store = facts(spark, [{"id": "far", "embedding": [0.0, 1.0]}])
