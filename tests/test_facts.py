@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from factloom.functions.model import StubModel
 from factloom.functions.text import preview, stable_id, text_lines, truncate_bytes
 from factloom.functions.vectors import cosine, from_blob, l2_normalize, to_blob
-from factloom.operators import reconcile, serve, settle, similarity
+from factloom.operators import components, reconcile, serve, settle, similarity
 from factloom.operators.components import connected_components
 from factloom.operators.similarity import similar_pairs
 from factloom.plans import jobs
@@ -241,6 +241,29 @@ def test_similar_pairs_match_numpy(spark):
     assert set(got) == want and all(abs(got[k] - c[int(k[0]), int(k[1])]) < 1e-6 for k in want)
 
 
+@pytest.mark.parametrize("one_task", [10**6, 500, 0])
+def test_links_have_the_components_of_pairs(spark, one_task):
+    rng = np.random.default_rng(8)
+    v = np.float32(rng.normal(size=(300, 6)))
+    df = spark.createDataFrame([(f"{k:04}", x.tolist()) for k, x in enumerate(v)] + [("9999", [])], "id string, embedding array<float>")
+    pairs, links = similar_pairs(df, 0.85, size=40), similarity.similar_links(df, 0.85, F.col("id").cast("long"), size=40)
+    labels = lambda edges: sorted(map(tuple, connected_components(edges, one_task=one_task).collect()))
+    assert labels(links) == labels(pairs) and 2 < len({c for _, c in labels(links)}) < len(labels(links))
+
+
+def test_stars_hold_no_more_than_nodes():
+    rng = np.random.default_rng(9)
+    stars, every = components.Stars(chunk=100), []
+    for _ in range(50):
+        a, b = rng.integers(0, 60, (2, 70))
+        a[:5] = b[:5] = 99  # loops
+        stars.add(a, b)
+        every.append((a, b))
+        assert stars.rows <= 200
+    assert [x.tolist() for x in stars.labels()] == [x.tolist() for x in components.label_arrays(*map(np.concatenate, zip(*every)))]
+    assert [len(x) for x in components.Stars().labels()] == [0, 0]
+
+
 def test_consolidation_end_to_end(spark, tmp_path):
     store = FactStore(spark, f"file://{tmp_path}/store")
     rows = [{"id": f"p{k}", "source_project": f"proj{k}", "category": "preference" if k else "fact"} for k in range(3)]
